@@ -27,6 +27,12 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe(read_table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import dedup
+
+    return dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
@@ -39,6 +45,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).drop("source")
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import groups
+
+    return groups(read_table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import detect
 
@@ -57,10 +69,28 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_ids=False).drop("text")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_substring_dedup, op2_language_id, op3_media_columns, op5_quality_rules, op6_mixing, op8_toxicity, op9_suffix_array_dedup, op10_sentencepiece)
+        for f in (
+            op1_substring_dedup,
+            op2_language_id,
+            op3_media_columns,
+            op4_line_dedup,
+            op5_quality_rules,
+            op6_mixing,
+            op7_minhash,
+            op8_toxicity,
+            op9_suffix_array_dedup,
+            op10_sentencepiece,
+            pipeline,
+        )
     }
 
 
