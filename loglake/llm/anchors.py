@@ -19,12 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, slices, sliding_min, split_words
+from .common import Rolling, slices, sliding_min, split_words, written
 
 _PLACE = np.uint64((1 << 26) - 1)
 _FIRST, _SECOND, _GRAM = Rolling(1), Rolling(2), Rolling(3)
-#: Bytes of text handled at once in a task; positions in a slice must fit 26 bits unless one text is longer.
-SLICE = 8 << 20
 
 
 @dataclass
@@ -51,6 +49,8 @@ class Windows:
     unit: Callable[[np.ndarray, np.ndarray], Units]
     window: int
     gram: int
+    #: Bytes of text handled at once in a task.
+    slice: int
 
     def anchors(self, u: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start of every window inside a row, position of its anchor, hash of every gram)."""
@@ -88,7 +88,7 @@ def anchor_table(docs: DataFrame, windows: Windows) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offsets in slices(batch.column("text"), SLICE):
+            for i, j, data, offsets in slices(batch.column("text"), windows.slice):
                 u = windows.unit(data, offsets)
                 _, at, grams = windows.anchors(u)
                 at = np.unique(at)
@@ -101,10 +101,14 @@ def anchor_table(docs: DataFrame, windows: Windows) -> DataFrame:
     return keyed(docs).select("text", "_d", "_h").mapInArrow(run, "fp bigint, _d bigint, _h int, at int")
 
 
-def with_places(docs: DataFrame, places: DataFrame, columns: str) -> DataFrame:
-    """Every row of ``docs`` with the sorted list of its entries in ``places`` (keyed by _d and _h), null if it has none."""
-    lists = places.groupBy("_d", "_h").agg(F.array_sort(F.collect_set(F.struct(*columns.split()))).alias("_at"))
-    return keyed(docs).join(lists, ["_d", "_h"], "left")
+def lists(places: DataFrame, columns: str) -> DataFrame:
+    """_d, _h and the sorted list of their entries, written, as the tables it comes from are dropped then."""
+    return written(places.groupBy("_d", "_h").agg(F.array_sort(F.collect_set(F.struct(*columns.split()))).alias("_at")), "places")
+
+
+def with_lists(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Every row of ``docs`` with its list, null if it has none. All uses in a query share one exchange of the texts."""
+    return keyed(docs).join(found, ["_d", "_h"], "left").select("doc_id", "text", "_d", "_h", "_at")
 
 
 def lists_of(column: pa.Array, i: int, j: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -117,21 +121,21 @@ def lists_of(column: pa.Array, i: int, j: int) -> tuple[np.ndarray, dict[str, np
     return np.repeat(np.arange(j - i), counts), {f.name: np.asarray(flat.field(k)) for k, f in enumerate(flat.type)}
 
 
-def repeated_windows(batches: Iterator[pa.RecordBatch], windows: Windows) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, Units, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each slice: (batch, first row, bytes, units, window starts whose anchor repeats, their anchors, the anchors' tags)."""
+def repeated_windows(batches: Iterator[pa.RecordBatch], windows: Windows) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, Units, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each slice: (batch, first row, bytes, units, gram hashes, window starts whose anchor repeats, their anchors, the anchors' tags)."""
     for batch in batches:
-        for i, j, data, offsets in slices(batch.column("text"), SLICE):
+        for i, j, data, offsets in slices(batch.column("text"), windows.slice):
             rows, fields = lists_of(batch.column("_at"), i, j)
             if not len(rows):
                 continue
             u = windows.unit(data, offsets)
-            start, at, _ = windows.anchors(u)
+            start, at, grams = windows.anchors(u)
             tag = np.zeros(len(u.values) + 1, np.int8)
             tag[u.first[rows] + fields["at"]] = 1 + fields["hot"].astype(np.int8) if "hot" in fields else 1
             keep = tag[at] > 0
             start, at = start[keep], at[keep]
             if len(start):
-                yield batch, i, data, u, start, at, tag[at]
+                yield batch, i, data, u, grams, start, at, tag[at]
 
 
 def names_of(u: Units, start: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,6 +186,95 @@ def window_rows(batch: pa.RecordBatch, i: int, u: Units, start: np.ndarray, wind
     )
 
 
+SPANS = f"{ROWS}, span binary"
+_SPAN_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+_SPAN_NAMES = [c.split()[0] for c in SPANS.split(", ")]
+
+
+def span_rows(batch: pa.RecordBatch, i: int, u: Units, grams: np.ndarray, start: np.ndarray, at: np.ndarray, content: Callable[[int, int], bytes]) -> pa.RecordBatch:
+    """One row for each run of windows with one anchor, with ``content(first, end)`` of windows first..end of ``start``.
+
+    Runs of equal content meet here: one row tells of them, and their windows are known to repeat.
+    """
+    head = np.flatnonzero((np.diff(start, prepend=-2) != 1) | (np.diff(at, prepend=-1) != 0))
+    stop = np.concatenate([head[1:], [len(start)]])
+    row = np.searchsorted(u.first, start[head], "right") - 1
+    begin, length = (start[head] - u.first[row]).tolist(), (stop - head).tolist()
+    take = pa.array(row + i)
+    d, h = (batch.column(c).take(take).to_pylist() for c in ("_d", "_h"))
+    names = grams[at[head]].view(np.int64).tolist()
+    seen: dict[tuple[int, bytes], list[int]] = {}
+    for k, (f, a, b) in enumerate(zip(names, head.tolist(), stop.tolist(), strict=True)):
+        seen.setdefault((f, content(a, b)), []).append(k)
+    rows: list[tuple] = []
+    for (f, span), all_k in seen.items():
+        k = all_k[0]
+        if len(all_k) == 1:
+            rows.append((f, 0, 1, d[k], h[k], begin[k], length[k], span))
+            continue
+        rows.append((f, 0, 2, 0, 0, 0, 0, span))
+        # Without content a row only passes through; a name of its own spreads such rows evenly.
+        rows += [(hash((f, d[k], h[k], begin[k])) >> 1, k, 2, d[k], h[k], begin[k], length[k], None) for k in all_k]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SPAN_KINDS, strict=True)], names=_SPAN_NAMES)
+
+
+def emitted(docs: DataFrame, found: DataFrame, windows: Windows, content: Callable[[np.ndarray, Units, np.ndarray], Callable[[int, int], bytes]]) -> DataFrame:
+    """Rows of ``SPANS`` for all windows whose anchor repeats; those of hot anchors by name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, i, data, u, grams, start, at, tag in repeated_windows(batches, windows):
+            cool = tag == 1
+            if cool.any():
+                yield span_rows(batch, i, u, grams, start[cool], at[cool], content(data, u, start[cool]))
+            if not cool.all():
+                made = window_rows(batch, i, u, start[~cool], windows)
+                yield pa.RecordBatch.from_arrays([*made.columns, pa.nulls(made.num_rows, pa.binary())], names=_SPAN_NAMES)
+
+    return with_lists(docs, found).mapInArrow(run, SPANS)
+
+
+def settled(spans: DataFrame, repeats: Callable[[list[tuple[int, bytes]], list[int]], list[np.ndarray]], most: int = 1 << 20) -> DataFrame:
+    """Runs (_d, _h, at, len) of repeated windows.
+
+    All rows of an anchor or name meet in a task, which takes anchors together up to ``most`` bytes;
+    ``repeats`` gets distinct (anchor, content) pairs with their numbers and returns the offsets of repeated windows.
+    """
+
+    def settle(rows: list[tuple]) -> pa.RecordBatch:
+        by_span: dict[tuple[int, bytes], list[tuple]] = {}
+        by_name: dict[tuple[int, int], list[tuple]] = {}
+        for r in rows:
+            by_span.setdefault((r[0], r[7]), []).append(r) if r[7] is not None else by_name.setdefault((r[0], r[1]), []).append(r)
+        out = [r[3:7] for same in by_name.values() if sum(r[2] for r in same) > 1 for r in same if r[6]]
+        numbers = [sum(r[2] for r in same) for same in by_span.values()]
+        found = repeats(list(by_span), numbers) if by_span else []
+        for (same, n), offsets in zip(zip(by_span.values(), numbers, strict=True), found, strict=True):
+            if n > 1:
+                out += [r[3:7] for r in same if r[6]]
+            elif same[0][6] and len(offsets):
+                d, h, at, _ = same[0][3:7]
+                out += [(d, h, at + a, k) for a, k in zip(*(x.tolist() for x in start_runs(offsets)), strict=True)]
+        cols = list(zip(*out, strict=True)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int32(), pa.int32(), pa.int32()], strict=True)], names=["_d", "_h", "at", "len"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size, last = 0, None
+        for batch in batches:
+            for r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if size >= most and r[0] != last:
+                    yield settle(held)
+                    held, size = [], 0
+                held.append(r)
+                size += len(r[7] or b"") + 32
+                last = r[0]
+        if held:
+            yield settle(held)
+
+    n = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return spans.repartition(n, "h1").sortWithinPartitions("h1").mapInArrow(run, "_d bigint, _h int, at int, len int")
+
+
 def removed_units(batch: pa.RecordBatch, i: int, j: int, u: Units, window: int) -> np.ndarray:
     """Which units of a slice are covered by the windows whose runs (at, len) stand in the rows' lists."""
     rows, fields = lists_of(batch.column("_at"), i, j)

@@ -6,6 +6,7 @@ Texts stay Arrow buffers; numpy works on their UTF-8 bytes. A word is a run of b
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -46,12 +47,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_written(df: DataFrame) -> None:
-    """Deletes tables of :func:`written` once nothing lazy reads them any more."""
+    """Deletes tables of :func:`written` once nothing lazy reads them any more.
+
+    Shuffle files go when the driver's garbage does; asking for that here keeps what finished steps leave on disks small.
+    """
     jvm, hconf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
     for parent in {os.path.dirname(f) for f in df.inputFiles()}:
         if "/loglake-" in parent:
             path = jvm.org.apache.hadoop.fs.Path(parent)
             path.getFileSystem(hconf).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 # ---------------------------------------------------------------- Arrow access

@@ -4,25 +4,28 @@ The index holds sorted immutable runs of (fingerprint, count). A batch of docume
 the run is merge-joined with the history to tell which of its fingerprints are known, and runs of
 one level are compacted into a run of the next by merging their counts. Fingerprints are the anchors of all
 windows (see ``anchors``), so the index grows with a tenth of the words. Documents with fingerprints that the
-compacted index counts twice are read once more and their windows verified by 128-bit names
-of the whole word sequence, which decide alone.
+compacted index counts twice are read once more, and their windows are verified by names of the
+whole word sequence: 64 bits among the windows of one fingerprint, itself 64 bits of some of their words, or
+128 bits where a fingerprint is so frequent that its windows are counted apart.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import ROWS, SLICE, Windows, anchor_table, removed_units, repeated_windows, window_rows, with_places, words
+from .anchors import Units, Windows, anchor_table, emitted, lists, names_of, removed_units, settled, with_lists, words
 from .common import drop_written, slices, written
 
 #: Words of a window, words of a fingerprinted gram, batches in which a whole table is indexed, runs of a level.
 WINDOW, GRAM, BATCHES, FANOUT = 35, 12, 2, 2
+#: Occurrences from which an anchor's windows are counted one by one, and bytes of text handled at once.
+HOT, SLICE = 512, 2 << 20
 
 
 class FingerprintIndex:
@@ -73,29 +76,44 @@ class FingerprintIndex:
         return self.runs[0][1]
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
+def _known_names(spans: list[tuple[int, bytes]], numbers: list[int]) -> list[np.ndarray]:
+    """For the window names of each span, those that occur again under its anchor."""
+    length = np.array([len(s) // 8 for _, s in spans])
+    name = np.frombuffer(b"".join(s for _, s in spans), np.uint64)
+    anchor = np.repeat(np.array([a for a, _ in spans], np.int64), length)
+    order = np.lexsort((name, anchor))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (name[order][1:] != name[order][:-1]) | (anchor[order][1:] != anchor[order][:-1])
+    group = np.cumsum(fresh) - 1
+    again = np.zeros(len(order), bool)
+    again[order] = np.bincount(group, np.repeat(np.array(numbers), length)[order])[group] > 1
+    bounds = np.concatenate([[0], np.cumsum(length)])
+    return [np.flatnonzero(again[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and the kept words of every row.
 
     A word goes if a window over it starts anywhere else too, in the same document or another; both
     sides of a repeat lose it. Null texts and texts under ``window`` words lose nothing; rows that repeat as a whole
     lose all their words if they have ``window`` of them.
     """
-    windows = Windows(words, window, gram)
+    windows = Windows(words, window, gram, SLICE)
     table = written(anchor_table(docs, windows), "anchors")
     index = FingerprintIndex()
     for k in range(batches):
         index.add(table.where(F.pmod(F.xxhash64("_d", "_h"), F.lit(batches)) == k))
         index.compact()
     counts = index.counts()
-    places = table.join(counts.where("n > 1").select("fp"), "fp").select("_d", "_h", "at")
+    found = lists(table.join(counts.where("n > 1").select("fp", (F.col("n") > hot).cast("int").alias("hot")), "fp"), "at hot")
+    drop_written(table)
+    drop_written(counts)
 
-    def emit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, i, _, u, start, _, _ in repeated_windows(rows, windows):
-            yield window_rows(batch, i, u, start, windows)
+    def names(data: np.ndarray, u: Units, start: np.ndarray) -> Callable[[int, int], bytes]:
+        own = names_of(u, start, window)[0]
+        return lambda a, b: own[a:b].tobytes()
 
-    met = with_places(docs, places, "at").select("text", "_d", "_h", "_at").mapInArrow(emit, ROWS)
-    met = met.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.collect_list(F.struct("_d", "_h", "at", "len")).alias("_all")).where("n > 1")
-    met = met.select(F.explode("_all").alias("_w")).select("_w.*").where("len > 0")
+    met = settled(emitted(docs, found, windows, names), _known_names).groupBy("_d", "_h").agg(F.array_sort(F.collect_set(F.struct("at", "len"))).alias("_at"))
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -112,4 +130,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2])], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return with_places(docs, met, "at len").select("doc_id", "text", "_at").mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    return with_lists(docs, met).mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")

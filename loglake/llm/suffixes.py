@@ -15,17 +15,19 @@ is spread over all tasks.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import ROWS, SLICE, Windows, anchor_table, octets, removed_units, repeated_windows, start_runs, window_rows, with_places
-from .common import runs, slices, written
+from .anchors import Units, Windows, anchor_table, emitted, lists, octets, removed_units, settled, with_lists
+from .common import drop_written, runs, slices, written
 
 WINDOW, GRAM, HOT = 400, 256, 512
+#: Bytes of text handled at once in a task.
+SLICE = 1 << 20
 #: Bytes of spans that one suffix array holds at most, unless one anchor has more.
 ARRAY = 1 << 20
 
@@ -128,109 +130,40 @@ def repeated_starts(spans: list[bytes], window: int) -> list[np.ndarray]:
     return [hit[bounds[k] : bounds[k + 1]] - at[k] for k in range(len(spans))]
 
 
-SPANS = f"{ROWS}, span binary"
-
-
-def _span_rows(batch: pa.RecordBatch, i: int, data: np.ndarray, u, start: np.ndarray, at: np.ndarray, grams: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row for each distinct span of the slice, and runs of windows for spans that occur in it twice."""
-    head = np.flatnonzero((np.diff(start, prepend=-2) != 1) | (np.diff(at, prepend=-1) != 0))
-    stop = np.concatenate([head[1:], [len(start)]])
-    row = np.searchsorted(u.first, start[head], "right") - 1
-    whole = data.tobytes()
-    seen: dict[tuple[int, bytes], list[int]] = {}
-    for k, (a, b, f) in enumerate(zip(start[head].tolist(), (start[stop - 1] + WINDOW).tolist(), grams[at[head]].view(np.int64).tolist(), strict=True)):
-        seen.setdefault((f, whole[a:b]), []).append(k)
-    d, h = batch.column("_d"), batch.column("_h")
-    rows: list[tuple] = []
-    begin, length, where = (start[head] - u.first[row]).tolist(), (stop - head).tolist(), (row + i).tolist()
-    for (f, span), all_k in seen.items():
-        k = all_k[0]
-        if len(all_k) == 1:
-            rows.append((f, 0, 1, d[where[k]].as_py(), h[where[k]].as_py(), begin[k], length[k], span))
-            continue
-        rows.append((f, 0, 2, 0, 0, 0, 0, span))
-        for k in all_k:
-            # Known to repeat: no span, so it only passes through.
-            rows.append((hash((f, k, where[k], begin[k])) >> 1, 0, 2, d[where[k]].as_py(), h[where[k]].as_py(), begin[k], length[k], None))
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["h1", "h2", "n", "_d", "_h", "at", "len", "span"])
-
-
-def _settle(rows: list[tuple], window: int) -> list[tuple]:
-    """Runs (d, h, at, len) of repeated windows, from all rows of some anchors."""
-    by_span: dict[tuple[int, bytes], list[tuple]] = {}
-    by_name: dict[tuple[int, int], list[tuple]] = {}
-    for r in rows:
-        if r[7] is not None:
-            by_span.setdefault((r[0], r[7]), []).append(r)
-        else:
-            by_name.setdefault((r[0], r[1]), []).append(r)
-    out = [(r[3], r[4], r[5], r[6]) for same in by_name.values() if sum(r[2] for r in same) > 1 for r in same if r[6]]
+def _repeats(spans: list[tuple[int, bytes]], numbers: list[int]) -> list[np.ndarray]:
+    """Offsets of repeated windows in each span. The same bytes under two anchors are two occurrences of no window: anchors differ."""
     texts: dict[bytes, int] = {}
-    for _, span in by_span:
+    for _, span in spans:
         texts.setdefault(span, len(texts))
-    found = repeated_starts(list(texts), window) if texts else []
-    for (_, span), same in by_span.items():
-        if sum(r[2] for r in same) > 1:
-            out += [(r[3], r[4], r[5], r[6]) for r in same if r[6]]
-            continue
-        first, length = start_runs(found[texts[span]])
-        r = same[0]
-        out += [(r[3], r[4], r[5] + a, n) for a, n in zip(first.tolist(), length.tolist(), strict=True)] if r[6] else []
-    return out
+    found = repeated_starts(list(texts), WINDOW)
+    return [found[texts[span]] for _, span in spans]
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, its text as UTF-8 bytes.
 
-    A byte goes if a window over it starts anywhere else too, in the same row or another; every occurrence
-    goes. Null and short texts lose nothing; whole copies lose everything from ``window`` bytes on.
+    A byte goes if a window of ``WINDOW`` bytes over it starts anywhere else too, in the same row or another; every occurrence
+    goes. Null and short texts lose nothing; whole copies lose everything from ``WINDOW`` bytes on.
     """
-    windows = Windows(octets, window, gram)
+    windows = Windows(octets, WINDOW, gram, SLICE)
     table = written(anchor_table(docs, windows), "anchors")
     counts = table.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    counts = written(counts, "counts").select("fp", (F.col("n") > hot).cast("int").alias("hot"))
-    places = table.join(counts, "fp").select("_d", "_h", "at", "hot")
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, i, data, u, start, at, tag in repeated_windows(batches, windows):
-            cool = tag == 1
-            if cool.any():
-                grams = windows.anchors(u)[2]
-                yield from _span_rows(batch, i, data, u, start[cool], at[cool], grams)
-            if not cool.all():
-                made = window_rows(batch, i, u, start[~cool], windows)
-                yield pa.RecordBatch.from_arrays([*made.columns, pa.nulls(made.num_rows, pa.binary())], names=[*made.schema.names, "span"])
-
-    spans = with_places(docs, places, "at hot").select("text", "_d", "_h", "_at").mapInArrow(emit, SPANS)
+    counts = written(counts.select("fp", (F.col("n") > hot).cast("int").alias("hot")), "counts")
+    found = lists(table.join(counts, "fp"), "at hot")
+    drop_written(table)
+    drop_written(counts)
 
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size, last = 0, None
+    def content(data: np.ndarray, u: Units, start: np.ndarray) -> Callable[[int, int], bytes]:
+        whole = data.tobytes()
+        return lambda a, b: whole[start[a] : start[b - 1] + WINDOW]
 
-        def flush() -> pa.RecordBatch:
-            cols = list(zip(*_settle(held, window), strict=True)) or [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int32(), pa.int32(), pa.int32()], strict=True)], names=["_d", "_h", "at", "len"])
-
-        for batch in batches:
-            for r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if size >= ARRAY and r[0] != last:
-                    yield flush()
-                    held, size = [], 0
-                held.append(r)
-                size += len(r[7] or b"") + 8
-                last = r[0]
-        if held:
-            yield flush()
-
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = spans.repartition(n, "h1").sortWithinPartitions("h1").mapInArrow(settle, "_d bigint, _h int, at int, len int")
+    met = settled(emitted(docs, found, windows, content), _repeats, ARRAY)
+    met = met.groupBy("_d", "_h").agg(F.array_sort(F.collect_set(F.struct("at", "len"))).alias("_at"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in slices(batch.column("text"), SLICE):
-                gone = removed_units(batch, i, j, octets(data, offsets), window)
+                gone = removed_units(batch, i, j, octets(data, offsets), WINDOW)
                 out = []
                 for r in range(j - i):
                     own, mask = data[offsets[r] : offsets[r + 1]], gone[offsets[r] : offsets[r + 1]]
@@ -238,4 +171,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_places(docs, met, "at len").select("doc_id", "text", "_at").mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return with_lists(docs, met).mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
