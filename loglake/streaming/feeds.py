@@ -65,8 +65,9 @@ def events(batch: DataFrame) -> Iterator[str]:
 
 def windowed(stream: DataFrame, width: str, late: str) -> DataFrame:
     """total and errors per event-time window; rows later than ``late`` are left out once their window is done."""
-    bars = stream.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"))
-    return bars.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("level") == "ERROR").alias("errors")).select(F.col("w.start").alias("bucket_start"), "total", "errors")
+    # A watermark needs an instant; log times have no zone and count as UTC.
+    bars = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"))
+    return bars.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("level") == "ERROR").alias("errors")).select(F.col("w.start").cast("timestamp_ntz").alias("bucket_start"), "total", "errors")
 
 
 def alert_states(evaluations: DataFrame, threshold: float) -> DataFrame:
