@@ -1,7 +1,7 @@
 """Connected groups of similar items from shared bucket keys, without all pairs of a bucket.
 
-First every item is compared with the smallest item of each of its buckets. Most groups fall together by
-that. What may be missing are links across groups within a bucket: there, the items outside the bucket's
+First every item is compared with one leader of each of its buckets, the item of lowest rank. Most groups fall
+together by that. What may be missing are links across groups within a bucket: there, the items outside the bucket's
 largest group are compared with the rest of it. Buckets where that is still much work are split by a
 second key of their items first. Comparisons are a cheap test inside the join, then an exact one.
 
@@ -37,15 +37,20 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", "comp")
 
 
-def link(rows: DataFrame, items: DataFrame, plausible: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], n_keys: int) -> DataFrame:
+def link(rows: DataFrame, prepare: Callable[[DataFrame], DataFrame], plausible: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], n_keys: int) -> DataFrame:
     """a, b: verified links that connect every group of items which share a bucket and pass both tests.
 
-    ``rows`` has key, i (which of an item's ``n_keys`` keys) and node; ``items`` has node and the columns that
-    ``plausible`` reads with the given prefixes; ``verify`` returns those of the pairs (a, b), a < b, that are links.
+    ``rows`` has key, i (which of an item's ``n_keys`` keys) and node. ``prepare`` gets the items that share a
+    bucket (node, most: the size of their largest one) and returns node, rank and the columns that
+    ``plausible`` reads with the given prefixes; ``verify`` returns those of the pairs (a, b) that are links.
     """
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("leader")).where("m > 1")
-    shared = written(rows.join(shared, "key").select("key", "i", "node", "leader"), "buckets")
-    star = written(shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "star")
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    shared = written(rows.join(sizes, "key").select("key", "i", "node", "m"), "buckets")
+    items = prepare(shared.groupBy("node").agg(F.max("m").alias("most")))
+    leaders = shared.join(items.select("node", "rank"), "node").groupBy("key").agg(F.min_by("node", F.struct("rank", "node")).alias("leader"))
+    led = shared.join(leaders, "key").where("node <> leader")
+    star = written(led.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct(), "star")
+    items = items.drop("rank")
     links = written(verify(_tested(star, items, plausible)), "edges")
     labels = components(links)
 

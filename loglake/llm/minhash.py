@@ -4,6 +4,10 @@ Each distinct shingle set gets ``BANDS * ROWS`` minima. Bands of whole minima ar
 minima, packed into longs, estimate the similarity of a candidate pair by counting equal bits and correcting for
 chance collisions. Pairs that the estimate does not rule out are confirmed on their full sets. A pair at
 similarity 0.75 misses all bands with probability (1 - 0.75^4)^32 = 5e-6, and the estimate rules it out at 5 standard errors.
+
+In large buckets, shingles that no other candidate has bound the similarity exactly: an intersection has none of them. The
+bound rules out pairs of heavily edited copies, and the member with the smallest share of such shingles leads its bucket, so
+a large group of copies falls together in one round of comparisons with its least edited member.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ SHINGLE, PERCENT = 5, 75
 BANDS, ROWS, BITS = 32, 4, 2
 #: The estimate rules a pair out below this; the threshold less five standard errors.
 LEAST_ESTIMATE = 0.50
+#: Bucket size from which the shingles of its members are counted.
+LARGE = 32
 _WORD, _SHINGLE = Rolling(21), Rolling(22)
 _K = BANDS * ROWS
 _FLIP = mix(np.arange(1, _K + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
@@ -113,27 +119,41 @@ def estimate(l: str, r: str) -> Column:  # noqa: E741
 
 def plausible(l: str, r: str) -> Column:  # noqa: E741
     a, b = F.col(f"{l}n"), F.col(f"{r}n")
-    return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b)) & (estimate(l, r) >= LEAST_ESTIMATE)
+    # The count of lone shingles is over members of large buckets, so it binds two of them only.
+    both = F.when(F.col(f"{l}large") & F.col(f"{r}large"), F.least(a - F.col(f"{l}lone"), b - F.col(f"{r}lone"))).otherwise(F.least(a, b))
+    return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b)) & (100 * both >= PERCENT * (a + b - both)) & (estimate(l, r) >= LEAST_ESTIMATE)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, set (sorted hashes, 8 bytes each) of the wanted documents."""
+    """node, most, set (sorted hashes, 8 bytes each) of the wanted documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in slices(batch.column("text"), 1 << 20):
                 h, first = shingles(data, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, j - i), pa.array([h[first[k] : first[k + 1]].tobytes() for k in range(j - i)], pa.binary())], names=["node", "set"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("node", "most")), pa.array([h[first[k] : first[k + 1]].tobytes() for k in range(j - i)], pa.binary())], names=["node", "most", "set"])
+
+    # What is wanted grows with the corpus, so it is merged at every size.
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(wanted.hint("merge"), "node")
+    return texts.select("node", "most", "text").mapInArrow(run, "node bigint, most bigint, set binary")
+
 
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node", "left_semi")
-    return texts.mapInArrow(run, "node bigint, set binary")
+def _lone(sets: DataFrame) -> DataFrame:
+    """node, lone: how many shingles of each document in a large bucket no other such document has; none if all are shared."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, s in zip(batch.column("node").to_pylist(), batch.column("set"), strict=True):
+                h = np.frombuffer(s.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node, np.int64)), pa.array(h)], names=["node", "h"])
 
-def _confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    one = sets.where(F.col("most") > LARGE).select("node", "set").mapInArrow(run, "node bigint, h bigint")
+    one = one.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("_other")).where("node = _other")
+    return one.groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
+
+
+def _confirm(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose full sets are similar enough."""
-    pairs = written(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = written(_sets(docs, wanted), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,7 +169,8 @@ def _confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                     keep.append(k)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")).hint("merge"), "a")
+    met = met.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
     return met.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -164,8 +185,16 @@ def groups(docs: DataFrame) -> DataFrame:
     items = signed.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", "s1", "s2", "n"], "left_semi").dropDuplicates(["doc_id", "s1", "s2"])
     items = written(items.withColumnRenamed("doc_id", "node"), "items")
     rows = items.select("node", F.posexplode("keys").alias("i", "key")).select("key", "i", "node")
-    traits = items.select("node", "n", *[f"g{k}" for k in range(_LONGS)])
-    labels = components(link(rows, traits, plausible, lambda pairs: _confirm(docs, pairs), BANDS))
+    bits = [f"g{k}" for k in range(_LONGS)]
+    sets: list[DataFrame] = []
+
+    def prepare(candidates: DataFrame) -> DataFrame:
+        sets.append(written(_sets(docs, candidates), "sets"))
+        lone = F.coalesce("lone", F.lit(0)).cast("long")
+        known = items.join(candidates, "node").join(_lone(sets[0]), "node", "left")
+        return written(known.select("node", "n", (F.col("most") > LARGE).alias("large"), lone.alias("lone"), (lone / F.col("n")).alias("rank"), *bits), "traits")
+
+    labels = components(link(rows, prepare, plausible, lambda pairs: _confirm(sets[0], pairs), BANDS))
     # Exact copies hang on their class.
     own = signed.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left").join(labels, "node", "left")
     component = F.coalesce("comp", "node", "doc_id")

@@ -63,6 +63,7 @@ def test_groups(spark, texts, monkeypatch):
     expect = brute(list(enumerate(texts)))
     assert sorted(map(tuple, minhash.groups(docs).collect())) == expect
     monkeypatch.setattr(linking, "MOST_WORK", 3)
+    monkeypatch.setattr(minhash, "LARGE", 2)
     assert sorted(map(tuple, minhash.groups(docs).collect())) == expect
 
 
