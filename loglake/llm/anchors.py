@@ -207,14 +207,22 @@ def span_rows(batch: pa.RecordBatch, i: int, u: Units, grams: np.ndarray, start:
     for k, (f, a, b) in enumerate(zip(names, head.tolist(), stop.tolist(), strict=True)):
         seen.setdefault((f, content(a, b)), []).append(k)
     rows: list[tuple] = []
+    known = np.zeros(len(start), bool)
     for (f, span), all_k in seen.items():
         k = all_k[0]
         if len(all_k) == 1:
             rows.append((f, 0, 1, d[k], h[k], begin[k], length[k], span))
             continue
         rows.append((f, 0, 2, 0, 0, 0, 0, span))
-        # Without content a row only passes through; a name of its own spreads such rows evenly.
-        rows += [(hash((f, d[k], h[k], begin[k])) >> 1, k, 2, d[k], h[k], begin[k], length[k], None) for k in all_k]
+        for k in all_k:
+            known[head[k] : stop[k]] = True
+    # Known windows only pass through, joined over anchors within a row; names of their own spread such rows evenly.
+    at_row = np.searchsorted(u.first, start[known], "right") - 1
+    cut = np.flatnonzero((np.diff(start[known], prepend=-2) != 1) | (np.diff(at_row, prepend=-1) != 0))
+    first, size, at_row = start[known][cut], np.diff([*cut, int(known.sum())]), at_row[cut]
+    take = pa.array(at_row + i)
+    d, h = (batch.column(c).take(take).to_pylist() for c in ("_d", "_h"))
+    rows += [(hash((d[k], h[k], a)) >> 1, k, 2, d[k], h[k], a, n, None) for k, (a, n) in enumerate(zip((first - u.first[at_row]).tolist(), size.tolist(), strict=True))]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SPAN_KINDS, strict=True)], names=_SPAN_NAMES)
 
 
@@ -246,13 +254,17 @@ def settled(spans: DataFrame, repeats: Callable[[list[tuple[int, bytes]], list[i
         for r in rows:
             by_span.setdefault((r[0], r[7]), []).append(r) if r[7] is not None else by_name.setdefault((r[0], r[1]), []).append(r)
         out = [r[3:7] for same in by_name.values() if sum(r[2] for r in same) > 1 for r in same if r[6]]
-        numbers = [sum(r[2] for r in same) for same in by_span.values()]
-        found = repeats(list(by_span), numbers) if by_span else []
-        for (same, n), offsets in zip(zip(by_span.values(), numbers, strict=True), found, strict=True):
-            if n > 1:
-                out += [r[3:7] for r in same if r[6]]
-            elif same[0][6] and len(offsets):
-                d, h, at, _ = same[0][3:7]
+        numbers = {key: sum(r[2] for r in same) for key, same in by_span.items()}
+        out += [r[3:7] for key, same in by_span.items() if numbers[key] > 1 for r in same if r[6]]
+        # Windows are equal only under one anchor, so an anchor with one content has nothing left to compare.
+        per_anchor: dict[int, int] = {}
+        for anchor, _ in by_span:
+            per_anchor[anchor] = per_anchor.get(anchor, 0) + 1
+        open_ = [key for key in by_span if per_anchor[key[0]] > 1]
+        found = repeats(open_, [numbers[key] for key in open_]) if open_ else []
+        for key, offsets in zip(open_, found, strict=True):
+            if numbers[key] == 1 and by_span[key][0][6] and len(offsets):
+                d, h, at, _ = by_span[key][0][3:7]
                 out += [(d, h, at + a, k) for a, k in zip(*(x.tolist() for x in start_runs(offsets)), strict=True)]
         cols = list(zip(*out, strict=True)) or [[]] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int32(), pa.int32(), pa.int32()], strict=True)], names=["_d", "_h", "at", "len"])

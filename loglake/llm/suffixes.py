@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .anchors import Units, Windows, anchor_table, emitted, lists, octets, removed_units, settled, with_lists
 from .common import drop_written, runs, slices, written
 
-WINDOW, GRAM, HOT = 400, 256, 512
+WINDOW, GRAM, HOT = 400, 256, 2048
 #: Bytes of text handled at once in a task.
 SLICE = 1 << 20
 #: Bytes of spans that one suffix array holds at most, unless one anchor has more.

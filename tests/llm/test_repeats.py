@@ -56,7 +56,7 @@ def test_words(spark, odd_texts):
     assert [g[1:] for g in got] == expect_words(odd_texts, 35)
 
 
-@pytest.mark.parametrize("hot", [512, 1])
+@pytest.mark.parametrize("hot", [2048, 1, 3])
 def test_bytes(spark, odd_texts, hot):
     got = sorted(tuple(r) for r in suffixes.remove_repeats(make_docs(spark, odd_texts), hot=hot).collect())
     assert [g[1:] for g in got] == expect_bytes(odd_texts, 400)
