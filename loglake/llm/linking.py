@@ -41,8 +41,8 @@ def link(rows: DataFrame, prepare: Callable[[DataFrame], DataFrame], plausible:
     """a, b: verified links that connect every group of items which share a bucket and pass both tests.
 
     ``rows`` has key, i (which of an item's ``n_keys`` keys) and node. ``prepare`` gets the items that share a
-    bucket (node, most: the size of their largest one) and returns node, rank and the columns that
-    ``plausible`` reads with the given prefixes; ``verify`` returns those of the pairs (a, b) that are links.
+    bucket (node, most: the size of their largest one) and returns node, rank, keys (all keys in order of i) and the
+    columns that ``plausible`` reads with the given prefixes; ``verify`` returns those of the pairs (a, b) that are links.
     """
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     shared = written(rows.join(sizes, "key").select("key", "i", "node", "m"), "buckets")
@@ -64,14 +64,14 @@ def link(rows: DataFrame, prepare: Callable[[DataFrame], DataFrame], plausible:
     named = shared.join(labels, "node", "left").select("key", "i", "node", F.coalesce("comp", "node").alias("comp"))
     named = written(named, "named")
     first, mixed = grouped(named, "key")
-    pairs = _across(first.where(F.col("work") <= MOST_WORK), items, plausible)
+    pairs = _across(first.where(F.col("work") <= MOST_WORK), items, plausible, F.col("i"))
     if not mixed.where(F.col("work") > MOST_WORK).isEmpty():
         heavy = first.where(F.col("work") > MOST_WORK).select("key", "i", "node", "comp")
         second = named.select(F.col("key").alias("_k"), F.col("i").alias("_i"), "node")
         step = F.pmod(F.col("_i") - F.col("i"), F.lit(n_keys))
         heavy = heavy.join(second, "node").where((step >= 1) & (step <= SECOND_KEYS)).select(F.xxhash64("key", "_k").alias("key2"), "node", "comp").distinct()
         deep, _ = grouped(written(heavy, "heavy"), "key2")
-        pairs = pairs.union(_across(deep.withColumnRenamed("key2", "key"), items, plausible))
+        pairs = pairs.union(_across(deep.withColumnRenamed("key2", "key").withColumn("i", F.lit(0)), items, plausible, None))
     pairs = pairs.distinct().join(star, ["a", "b"], "left_anti")
     return links.union(written(verify(pairs), "edges"))
 
@@ -81,15 +81,20 @@ def _side(items: DataFrame, node: str, prefix: str) -> DataFrame:
 
 
 def _tested(pairs: DataFrame, items: DataFrame, plausible: Callable[[str, str], Column]) -> DataFrame:
+    items = items.drop("keys")
     return pairs.join(_side(items, "a", "l_"), "a").join(_side(items, "b", "r_"), "b").where(plausible("l_", "r_")).select("a", "b")
 
 
-def _across(rows: DataFrame, items: DataFrame, plausible: Callable[[str, str], Column]) -> DataFrame:
-    """Pairs of different groups in a bucket: each item outside the main group against all others, once."""
+def _across(rows: DataFrame, items: DataFrame, plausible: Callable[[str, str], Column], at: Column | None) -> DataFrame:
+    """Pairs of different groups in a bucket: each item outside the main group against all others, once.
+
+    A pair that shares several buckets is made in the one of its first common key, where ``at`` tells the keys' places.
+    """
     rows = rows.join(items, "node")
     own = [c for c in items.columns if c != "node"]
-    left = rows.select("key", F.col("node").alias("x"), F.col("comp").alias("xc"), "main", *[F.col(c).alias("l_" + c) for c in own])
+    left = rows.select("key", (F.lit(-1) if at is None else at).alias("at"), F.col("node").alias("x"), F.col("comp").alias("xc"), "main", *[F.col(c).alias("l_" + c) for c in own])
     right = rows.where("comp <> main").select(F.col("key").alias("_key"), F.col("node").alias("y"), F.col("comp").alias("yc"), *[F.col(c).alias("r_" + c) for c in own])
     once = (F.col("xc") == F.col("main")) | (F.col("x") < F.col("y"))
-    met = left.join(right, (F.col("key") == F.col("_key")) & (F.col("xc") != F.col("yc")) & once & plausible("l_", "r_"))
+    here = F.col("at") < 0 if at is None else F.array_position(F.zip_with("l_keys", "r_keys", lambda a, b: a == b), True) == F.col("at") + 1
+    met = left.join(right, (F.col("key") == F.col("_key")) & (F.col("xc") != F.col("yc")) & once & plausible("l_", "r_") & here)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))

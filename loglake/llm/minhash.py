@@ -5,9 +5,10 @@ minima, packed into longs, estimate the similarity of a candidate pair by counti
 chance collisions. Pairs that the estimate does not rule out are confirmed on their full sets. A pair at
 similarity 0.75 misses all bands with probability (1 - 0.75^4)^32 = 5e-6, and the estimate rules it out at 5 standard errors.
 
-In large buckets, shingles that no other candidate has bound the similarity exactly: an intersection has none of them. The
-bound rules out pairs of heavily edited copies, and the member with the smallest share of such shingles leads its bucket, so
-a large group of copies falls together in one round of comparisons with its least edited member.
+Two exact bounds thin out the candidates of large groups of copies. A bit map of each set's shingles shows some that only
+one side has. In large buckets, shingles that no other member has are counted; no intersection has
+them, and the member with the smallest share of them leads its bucket, so that a large group falls together
+in one round of comparisons with its least edited member.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ SHINGLE, PERCENT = 5, 75
 BANDS, ROWS, BITS = 32, 4, 2
 #: The estimate rules a pair out below this; the threshold less five standard errors.
 LEAST_ESTIMATE = 0.50
-#: Bucket size from which the shingles of its members are counted.
-LARGE = 32
+#: Bucket size from which the shingles of its members are counted, and longs of a set's bit map.
+LARGE, MAP = 32, 16
 _WORD, _SHINGLE = Rolling(21), Rolling(22)
 _K = BANDS * ROWS
 _FLIP = mix(np.arange(1, _K + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
@@ -121,21 +122,39 @@ def plausible(l: str, r: str) -> Column:  # noqa: E741
     a, b = F.col(f"{l}n"), F.col(f"{r}n")
     # The count of lone shingles is over members of large buckets, so it binds two of them only.
     both = F.when(F.col(f"{l}large") & F.col(f"{r}large"), F.least(a - F.col(f"{l}lone"), b - F.col(f"{r}lone"))).otherwise(F.least(a, b))
-    return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b)) & (100 * both >= PERCENT * (a + b - both)) & (estimate(l, r) >= LEAST_ESTIMATE)
+    near = (100 * F.least(a, b) >= PERCENT * F.greatest(a, b)) & (100 * both >= PERCENT * (a + b - both)) & (estimate(l, r) >= LEAST_ESTIMATE)
+    only_a = only_b = F.lit(0)
+    for k in range(MAP):
+        x, y = F.col(f"{l}m{k}"), F.col(f"{r}m{k}")
+        only_a = only_a + F.bit_count(x.bitwiseAND(F.bitwise_not(y)))
+        only_b = only_b + F.bit_count(y.bitwiseAND(F.bitwise_not(x)))
+    most = F.least(a - only_a, b - only_b)
+    return near & (100 * most >= PERCENT * (a + b - most))
+
+
+def bit_maps(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each row ``MAP`` longs; a shingle sets the bit that its hash names."""
+    rows = len(first) - 1
+    bits = np.zeros((rows, 64 * MAP), np.uint8)
+    bits[row_of(first), ((h >> np.uint64(20)) % np.uint64(64 * MAP)).astype(np.int64)] = 1
+    return np.packbits(bits, axis=1).view(np.int64)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, most, set (sorted hashes, 8 bytes each) of the wanted documents."""
+    """node, most, set (sorted hashes, 8 bytes each) and its bit map, of the wanted documents."""
+    maps = [f"m{k}" for k in range(MAP)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in slices(batch.column("text"), 1 << 20):
                 h, first = shingles(data, offsets)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("node", "most")), pa.array([h[first[k] : first[k + 1]].tobytes() for k in range(j - i)], pa.binary())], names=["node", "most", "set"])
+                marks = bit_maps(h, first)
+                own = pa.array([h[first[k] : first[k + 1]].tobytes() for k in range(j - i)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("node", "most")), own, *[pa.array(np.ascontiguousarray(marks[:, k])) for k in range(MAP)]], names=["node", "most", "set", *maps])
 
     # What is wanted grows with the corpus, so it is merged at every size.
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(wanted.hint("merge"), "node")
-    return texts.select("node", "most", "text").mapInArrow(run, "node bigint, most bigint, set binary")
+    return texts.select("node", "most", "text").mapInArrow(run, "node bigint, most bigint, set binary, " + ", ".join(f"{m} bigint" for m in maps))
 
 
 def _lone(sets: DataFrame) -> DataFrame:
@@ -191,8 +210,10 @@ def groups(docs: DataFrame) -> DataFrame:
     def prepare(candidates: DataFrame) -> DataFrame:
         sets.append(written(_sets(docs, candidates), "sets"))
         lone = F.coalesce("lone", F.lit(0)).cast("long")
-        known = items.join(candidates, "node").join(_lone(sets[0]), "node", "left")
-        return written(known.select("node", "n", (F.col("most") > LARGE).alias("large"), lone.alias("lone"), (lone / F.col("n")).alias("rank"), *bits), "traits")
+        maps = [f"m{k}" for k in range(MAP)]
+        # A row's own set is the one of its size where documents share an id; more rows only mean more comparisons.
+        known = items.select("node", "n", "keys", *bits).join(sets[0].select("node", "most", (F.length("set") / 8).cast("long").alias("n"), *maps), ["node", "n"]).join(_lone(sets[0]), "node", "left")
+        return written(known.select("node", "n", (F.col("most") > LARGE).alias("large"), lone.alias("lone"), (lone / F.col("n")).alias("rank"), *bits, *maps, "keys"), "traits")
 
     labels = components(link(rows, prepare, plausible, lambda pairs: _confirm(sets[0], pairs), BANDS))
     # Exact copies hang on their class.
