@@ -38,7 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def link(rows: DataFrame, prepare: Callable[[DataFrame], DataFrame], plausible: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], n_keys: int) -> DataFrame:
-    """a, b: verified links that connect every group of items which share a bucket and pass both tests.
+    """a, b: pairs that connect the groups of all items which share a bucket and pass both tests.
 
     ``rows`` has key, i (which of an item's ``n_keys`` keys) and node. ``prepare`` gets the items that share a
     bucket (node, most: the size of their largest one) and returns node, rank, keys (all keys in order of i) and the
@@ -73,7 +73,9 @@ def link(rows: DataFrame, prepare: Callable[[DataFrame], DataFrame], plausible:
         deep, _ = grouped(written(heavy, "heavy"), "key2")
         pairs = pairs.union(_across(deep.withColumnRenamed("key2", "key").withColumn("i", F.lit(0)), items, plausible, None))
     pairs = pairs.distinct().join(star, ["a", "b"], "left_anti")
-    return links.union(written(verify(pairs), "edges"))
+    # The groups so far are stars of their own, which say the same as the links and settle at once.
+    stars = labels.where("node <> comp").select(F.col("comp").alias("a"), F.col("node").alias("b"))
+    return stars.union(written(verify(pairs), "edges"))
 
 
 def _side(items: DataFrame, node: str, prefix: str) -> DataFrame:
