@@ -244,47 +244,63 @@ def emitted(docs: DataFrame, found: DataFrame, windows: Windows, content: Callab
 def settled(spans: DataFrame, repeats: Callable[[list[tuple[int, bytes]], list[int]], list[np.ndarray]], most: int = 1 << 20) -> DataFrame:
     """Runs (_d, _h, at, len) of repeated windows.
 
-    All rows of an anchor or name meet in a task, which takes anchors together up to ``most`` bytes;
-    ``repeats`` gets distinct (anchor, content) pairs with their numbers and returns the offsets of repeated windows.
+    All rows of an anchor or name meet in a task, which takes anchors together up to ``most`` bytes and passes names on as
+    they come; ``repeats`` gets distinct (anchor, content) pairs with their numbers and returns the offsets of repeated windows.
     """
 
-    def settle(rows: list[tuple]) -> pa.RecordBatch:
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int32(), pa.int32(), pa.int32()], strict=True)], names=["_d", "_h", "at", "len"])
+
+    def settle(rows: list[tuple]) -> list[tuple]:
         by_span: dict[tuple[int, bytes], list[tuple]] = {}
-        by_name: dict[tuple[int, int], list[tuple]] = {}
+        per_anchor: dict[int, int] = {}
         for r in rows:
-            by_span.setdefault((r[0], r[7]), []).append(r) if r[7] is not None else by_name.setdefault((r[0], r[1]), []).append(r)
-        out = [r[3:7] for same in by_name.values() if sum(r[2] for r in same) > 1 for r in same if r[6]]
+            same = by_span.setdefault((r[0], r[7]), [])
+            if not same:
+                per_anchor[r[0]] = per_anchor.get(r[0], 0) + 1
+            same.append(r)
         numbers = {key: sum(r[2] for r in same) for key, same in by_span.items()}
-        out += [r[3:7] for key, same in by_span.items() if numbers[key] > 1 for r in same if r[6]]
+        out = [r[3:7] for key, same in by_span.items() if numbers[key] > 1 for r in same if r[6]]
         # Windows are equal only under one anchor, so an anchor with one content has nothing left to compare.
-        per_anchor: dict[int, int] = {}
-        for anchor, _ in by_span:
-            per_anchor[anchor] = per_anchor.get(anchor, 0) + 1
         open_ = [key for key in by_span if per_anchor[key[0]] > 1]
         found = repeats(open_, [numbers[key] for key in open_]) if open_ else []
         for key, offsets in zip(open_, found, strict=True):
             if numbers[key] == 1 and by_span[key][0][6] and len(offsets):
                 d, h, at, _ = by_span[key][0][3:7]
                 out += [(d, h, at + a, k) for a, k in zip(*(x.tolist() for x in start_runs(offsets)), strict=True)]
-        cols = list(zip(*out, strict=True)) or [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int32(), pa.int32(), pa.int32()], strict=True)], names=["_d", "_h", "at", "len"])
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size, last = 0, None
+        out: list[tuple] = []
+        size, last, name, total, lone = 0, None, None, 0, None
         for batch in batches:
             for r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if r[7] is None:
+                    # A name's rows follow each other; only the first can be in doubt, so none are gathered.
+                    if (r[0], r[1]) != name:
+                        name, total, lone = (r[0], r[1]), 0, None
+                    total += r[2]
+                    if total > 1:
+                        out += [x[3:7] for x in (lone, r) if x is not None and x[6]]
+                        lone = None
+                    else:
+                        lone = r
+                    continue
                 if size >= most and r[0] != last:
-                    yield settle(held)
+                    out += settle(held)
                     held, size = [], 0
                 held.append(r)
-                size += len(r[7] or b"") + 32
+                size += len(r[7]) + 32
                 last = r[0]
-        if held:
-            yield settle(held)
+            if len(out) > 20_000:
+                yield made(out)
+                out = []
+        yield made(out + settle(held))
 
     n = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return spans.repartition(n, "h1").sortWithinPartitions("h1").mapInArrow(run, "_d bigint, _h int, at int, len int")
+    return spans.repartition(n, "h1").sortWithinPartitions("h1", "h2").mapInArrow(run, "_d bigint, _h int, at int, len int")
 
 
 def removed_units(batch: pa.RecordBatch, i: int, j: int, u: Units, window: int) -> np.ndarray:

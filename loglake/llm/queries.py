@@ -36,7 +36,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
-    return judge(read_table(spark, sf_dir, "documents"))
+    return judge(read_table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,4 +95,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .sql import ORACLES
+
+    return dict(ORACLES)
