@@ -46,18 +46,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Deletes tables of :func:`written` once nothing lazy reads them any more.
+def release(spark: SparkSession) -> None:
+    """Shuffle files go when the driver's garbage does; asking for that keeps what finished steps leave on disks small."""
+    gc.collect()
+    spark._jvm.System.gc()
 
-    Shuffle files go when the driver's garbage does; asking for that here keeps what finished steps leave on disks small.
-    """
+
+def drop_written(df: DataFrame) -> None:
+    """Deletes tables of :func:`written` once nothing lazy reads them any more."""
     jvm, hconf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
     for parent in {os.path.dirname(f) for f in df.inputFiles()}:
         if "/loglake-" in parent:
             path = jvm.org.apache.hadoop.fs.Path(parent)
             path.getFileSystem(hconf).delete(path, True)
-    gc.collect()
-    jvm.System.gc()
+    release(df.sparkSession)
 
 
 # ---------------------------------------------------------------- Arrow access

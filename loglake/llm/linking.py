@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import drop_written, release, written
 
 #: Comparisons of a bucket beyond which it is split by second keys, and how many of these each item tries.
 MOST_WORK, SECOND_KEYS = 1 << 20, 8
@@ -46,13 +46,16 @@ def link(rows: DataFrame, prepare: Callable[[DataFrame], DataFrame], plausible:
     """
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     shared = written(rows.join(sizes, "key").select("key", "i", "node", "m"), "buckets")
+    release(shared.sparkSession)
     items = prepare(shared.groupBy("node").agg(F.max("m").alias("most")))
     leaders = shared.join(items.select("node", "rank"), "node").groupBy("key").agg(F.min_by("node", F.struct("rank", "node")).alias("leader"))
+    release(shared.sparkSession)
     led = shared.join(leaders, "key").where("node <> leader")
     star = written(led.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct(), "star")
     items = items.drop("rank")
     links = written(verify(_tested(star, items, plausible)), "edges")
     labels = components(links)
+    release(shared.sparkSession)
 
     def grouped(part: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
         """Rows of buckets that hold more than one group, with the bucket's largest group and its work."""
