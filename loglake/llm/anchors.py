@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, slices, sliding_min, split_words, written
+from .common import Rolling, in_small_batches, slices, sliding_min, split_words, written
 
 _PLACE = np.uint64((1 << 26) - 1)
 _FIRST, _SECOND, _GRAM = Rolling(1), Rolling(2), Rolling(3)
@@ -80,7 +80,7 @@ def _blocks(ends: np.ndarray, n: int, limit: int) -> Iterator[slice]:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and the second half of the key, dealt by key, so that later joins move the texts once."""
-    return docs.select("doc_id", "text", F.hash("text").alias("_h"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("_d"))
+    return in_small_batches(docs).select("doc_id", "text", F.hash("text").alias("_h"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("_d"))
 
 
 def anchor_table(docs: DataFrame, windows: Windows) -> DataFrame:

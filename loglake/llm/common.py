@@ -65,6 +65,19 @@ def drop_written(df: DataFrame) -> None:
 # ---------------------------------------------------------------- Arrow access
 
 
+#: Rows that reach a Python worker at once at most; texts may be long.
+BATCH_ROWS = 1000
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches bounded by ``BATCH_ROWS``: neither side then holds many long texts at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key))
+    if not 0 < now <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, BATCH_ROWS)
+    return df
+
+
 def crc_mod(column: str, n: int):
     """crc32 of the id as text, modulo n, as the split of rows into learnt and held out."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

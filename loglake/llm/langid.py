@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, in_small_batches
 
 #: Bounds of the fitted sample, per language: documents, bytes taken of one document, bytes of the dictionary.
 SAMPLE_DOCS, SLICE_BYTES, DICT_BYTES = 96, 2048, 96 << 10
@@ -81,7 +81,7 @@ def classify(text: str | None, names: list[str], tools: list, margin: float = MA
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
     """``docs`` plus lang_pred, score and rejected; columns of those names in the input are replaced."""
     names = list(dictionaries)
-    docs = docs.drop("lang_pred", "score", "rejected")
+    docs = in_small_batches(docs).drop("lang_pred", "score", "rejected")
     schema = docs.schema.simpleString()[len("struct<") : -1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

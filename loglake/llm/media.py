@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import in_small_batches
+
 #: Fixed values of the format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
@@ -191,4 +193,4 @@ def describe(docs: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in FEATURES.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, FEATURES)
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(run, FEATURES)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, mix, row_of, slices, split_words, written
+from .common import Rolling, in_small_batches, mix, row_of, slices, split_words, written
 from .linking import components, link
 
 SHINGLE, PERCENT = 5, 75
@@ -104,7 +104,7 @@ def sign(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "n", "s1", "s2", *[f"g{k}" for k in range(_LONGS)], "keys"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SIGNED)
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(run, SIGNED)
 
 
 def estimate(l: str, r: str) -> Column:  # noqa: E741

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Rolling, mix, slices
+from .common import Rolling, in_small_batches, mix, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
@@ -461,7 +461,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, n_best: int
     vocabulary = Vocabulary.load(model)
     added = [("n_pieces", "bigint", pa.int64()), ("best_score", "bigint", pa.int64()), ("n_best_scores", "array<bigint>", pa.list_(pa.int64())), ("n_best_sha256", "array<string>", pa.list_(pa.string())), ("round_trip", "boolean", pa.bool_())]
     added += [("ids", "array<int>", pa.list_(pa.int32()))] if keep_ids else []
-    docs = docs.drop(*[a[0] for a in added])
+    docs = in_small_batches(docs).drop(*[a[0] for a in added])
     schema = ", ".join([docs.schema.simpleString()[len("struct<") : -1], *[f"{n} {t}" for n, t, _ in added]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

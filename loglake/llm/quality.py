@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Rolling, covered, row_of, slices, split_words
+from .common import Rolling, covered, in_small_batches, row_of, slices, split_words
 
 #: Base rule: fewer words fail; more than this share of words in repeated windows of eight fails.
 MIN_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
@@ -184,4 +184,4 @@ def judge(docs: DataFrame) -> DataFrame:
                     names=["doc_id", *COUNTS, "base_failed", "kept"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(run, SCHEMA)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, crc_mod, row_of, slices, split_words
+from .common import Rolling, crc_mod, in_small_batches, row_of, slices, split_words
 
 #: The fitted sample: at most so many labelled rows of each class, and so many bytes of each text.
 SAMPLE_PER_CLASS, SAMPLE_BYTES = 1200, 1 << 16
@@ -164,7 +164,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
                 p = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, score double, predicted int")
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id bigint, score double, predicted int")
 
 
 def detect(docs: DataFrame, labels: DataFrame) -> DataFrame:
