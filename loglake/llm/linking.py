@@ -2,8 +2,9 @@
 
 First every item is compared with one leader of each of its buckets, the item of lowest rank. Most groups fall
 together by that. What may be missing are links across groups within a bucket: there, the items outside the bucket's
-largest group are compared with the rest of it. Buckets where that is still much work are split by a
-second key of their items first. Comparisons are a cheap test inside the join, then an exact one.
+largest group are compared with the rest of it. Where that is much work, both sides are cut into pieces and each
+piece meets each of the other side's in a task of its own: whatever its size, no bucket loses a pair.
+Comparisons are a cheap test inside the join, then an exact one.
 
 Nothing is gathered by bucket or group: counts, minima and joins only, and adaptive execution splits skewed joins.
 """
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import drop_written, release, written
 
-#: Comparisons of a bucket beyond which it is split by second keys, and how many of these each item tries.
-MOST_WORK, SECOND_KEYS = 1 << 20, 8
+#: Comparisons that two pieces of a bucket make, about; a bucket with more is cut into more pieces.
+MOST_WORK = 1 << 20
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -37,10 +38,10 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", "comp")
 
 
-def link(rows: DataFrame, prepare: Callable[[DataFrame], DataFrame], plausible: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], n_keys: int) -> DataFrame:
+def link(rows: DataFrame, prepare: Callable[[DataFrame], DataFrame], plausible: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """a, b: pairs that connect the groups of all items which share a bucket and pass both tests.
 
-    ``rows`` has key, i (which of an item's ``n_keys`` keys) and node. ``prepare`` gets the items that share a
+    ``rows`` has key, i (which of an item's keys) and node. ``prepare`` gets the items that share a
     bucket (node, most: the size of their largest one) and returns node, rank, keys (all keys in order of i) and the
     columns that ``plausible`` reads with the given prefixes; ``verify`` returns those of the pairs (a, b) that are links.
     """
@@ -57,24 +58,13 @@ def link(rows: DataFrame, prepare: Callable[[DataFrame], DataFrame], plausible:
     labels = components(links)
     release(shared.sparkSession)
 
-    def grouped(part: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-        """Rows of buckets that hold more than one group, with the bucket's largest group and its work."""
-        sizes = part.groupBy(key, "comp").agg(F.count(F.lit(1)).alias("c"))
-        mixed = sizes.groupBy(key).agg(F.sum("c").alias("m"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("most"), F.count(F.lit(1)).alias("groups"))
-        mixed = written(mixed.where("groups > 1").select(key, "main", (F.col("m") * (F.col("m") - F.col("most"))).alias("work")), "mixed")
-        return part.join(mixed, key), mixed
-
     named = shared.join(labels, "node", "left").select("key", "i", "node", F.coalesce("comp", "node").alias("comp"))
     named = written(named, "named")
-    first, mixed = grouped(named, "key")
-    pairs = _across(first.where(F.col("work") <= MOST_WORK), items, plausible, F.col("i"))
-    if not mixed.where(F.col("work") > MOST_WORK).isEmpty():
-        heavy = first.where(F.col("work") > MOST_WORK).select("key", "i", "node", "comp")
-        second = named.select(F.col("key").alias("_k"), F.col("i").alias("_i"), "node")
-        step = F.pmod(F.col("_i") - F.col("i"), F.lit(n_keys))
-        heavy = heavy.join(second, "node").where((step >= 1) & (step <= SECOND_KEYS)).select(F.xxhash64("key", "_k").alias("key2"), "node", "comp").distinct()
-        deep, _ = grouped(written(heavy, "heavy"), "key2")
-        pairs = pairs.union(_across(deep.withColumnRenamed("key2", "key").withColumn("i", F.lit(0)), items, plausible, None))
+    # Buckets that hold more than one group, with their largest group and their work.
+    sizes = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    mixed = sizes.groupBy("key").agg(F.sum("c").alias("m"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("most"), F.count(F.lit(1)).alias("groups"))
+    mixed = written(mixed.where("groups > 1").select("key", "main", (F.col("m") * (F.col("m") - F.col("most"))).alias("work")), "mixed")
+    pairs = _across(named.join(mixed, "key"), items, plausible)
     pairs = pairs.distinct().join(star, ["a", "b"], "left_anti")
     # The groups so far are stars of their own, which say the same as the links and settle at once.
     stars = labels.where("node <> comp").select(F.col("comp").alias("a"), F.col("node").alias("b"))
@@ -90,16 +80,19 @@ def _tested(pairs: DataFrame, items: DataFrame, plausible: Callable[[str, str],
     return pairs.join(_side(items, "a", "l_"), "a").join(_side(items, "b", "r_"), "b").where(plausible("l_", "r_")).select("a", "b")
 
 
-def _across(rows: DataFrame, items: DataFrame, plausible: Callable[[str, str], Column], at: Column | None) -> DataFrame:
+def _across(rows: DataFrame, items: DataFrame, plausible: Callable[[str, str], Column]) -> DataFrame:
     """Pairs of different groups in a bucket: each item outside the main group against all others, once.
 
-    A pair that shares several buckets is made in the one of its first common key, where ``at`` tells the keys' places.
+    A pair that shares several buckets is made in the one of its first common key.
     """
-    rows = rows.join(items, "node")
+    pieces = F.ceil(F.sqrt(F.col("work") / F.lit(MOST_WORK))).cast("int")
+    rows = rows.withColumns({"_all": F.sequence(F.lit(0), pieces - 1), "_own": F.pmod(F.xxhash64("node"), pieces).cast("int")}).join(items, "node")
     own = [c for c in items.columns if c != "node"]
-    left = rows.select("key", (F.lit(-1) if at is None else at).alias("at"), F.col("node").alias("x"), F.col("comp").alias("xc"), "main", *[F.col(c).alias("l_" + c) for c in own])
-    right = rows.where("comp <> main").select(F.col("key").alias("_key"), F.col("node").alias("y"), F.col("comp").alias("yc"), *[F.col(c).alias("r_" + c) for c in own])
+    left = rows.select("key", "i", F.col("_own").alias("_p"), F.explode("_all").alias("_q"), F.col("node").alias("x"), F.col("comp").alias("xc"), "main", *[F.col(c).alias("l_" + c) for c in own])
+    right = rows.where("comp <> main").select("key", F.explode("_all").alias("_p"), F.col("_own").alias("_q"), F.col("node").alias("y"), F.col("comp").alias("yc"), *[F.col(c).alias("r_" + c) for c in own])
+    right = right.withColumnsRenamed({c: "_r" + c for c in ("key", "_p", "_q")})
+    cell = (F.col("key") == F.col("_rkey")) & (F.col("_p") == F.col("_r_p")) & (F.col("_q") == F.col("_r_q"))
     once = (F.col("xc") == F.col("main")) | (F.col("x") < F.col("y"))
-    here = F.col("at") < 0 if at is None else F.array_position(F.zip_with("l_keys", "r_keys", lambda a, b: a == b), True) == F.col("at") + 1
-    met = left.join(right, (F.col("key") == F.col("_key")) & (F.col("xc") != F.col("yc")) & once & plausible("l_", "r_") & here)
+    here = F.array_position(F.zip_with("l_keys", "r_keys", lambda a, b: a == b), True) == F.col("i") + 1
+    met = left.join(right, cell & (F.col("xc") != F.col("yc")) & once & plausible("l_", "r_") & here)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))

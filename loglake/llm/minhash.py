@@ -215,7 +215,7 @@ def groups(docs: DataFrame) -> DataFrame:
         known = items.select("node", "n", "keys", *bits).join(sets[0].select("node", "most", (F.length("set") / 8).cast("long").alias("n"), *maps), ["node", "n"]).join(_lone(sets[0]), "node", "left")
         return written(known.select("node", "n", (F.col("most") > LARGE).alias("large"), lone.alias("lone"), (lone / F.col("n")).alias("rank"), *bits, *maps, "keys"), "traits")
 
-    labels = components(link(rows, prepare, plausible, lambda pairs: _confirm(sets[0], pairs), BANDS))
+    labels = components(link(rows, prepare, plausible, lambda pairs: _confirm(sets[0], pairs)))
     # Exact copies hang on their class.
     own = signed.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left").join(labels, "node", "left")
     component = F.coalesce("comp", "node", "doc_id")
