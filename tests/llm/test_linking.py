@@ -18,3 +18,12 @@ def test_one_common_key_in_a_large_bucket(spark, monkeypatch, most_work):
     """Eight keys, as line dedup once had; a bucket of any size is compared as a whole."""
     monkeypatch.setattr(linking, "MOST_WORK", most_work)
     assert linked(spark, {n: [7] + [None] * 7 for n in range(12)}, (3, 8)) == {(3, 8)}
+
+
+def test_first_common_key_in_a_large_bucket(spark, monkeypatch):
+    """Thirty-two keys, as MinHash: the pair's other common key is far behind, in a small bucket with a leader of neither."""
+    monkeypatch.setattr(linking, "MOST_WORK", 20)
+    keys = {n: [7] + [None] * 31 for n in range(12)}
+    for n in (1, 3, 8):
+        keys[n][20] = 9
+    assert linked(spark, keys, (3, 8)) == {(3, 8)}
