@@ -42,7 +42,7 @@ def link(rows: DataFrame, prepare: Callable[[DataFrame], DataFrame], plausible:
     """a, b: pairs that connect the groups of all items which share a bucket and pass both tests.
 
     ``rows`` has key, i (which of an item's keys) and node. ``prepare`` gets the items that share a
-    bucket (node, most: the size of their largest one) and returns node, rank, keys (all keys in order of i) and the
+    bucket (node, most: the size of their largest one) and returns node, rank, perhaps keys (all keys in order of i) and the
     columns that ``plausible`` reads with the given prefixes; ``verify`` returns those of the pairs (a, b) that are links.
     """
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
@@ -83,7 +83,7 @@ def _tested(pairs: DataFrame, items: DataFrame, plausible: Callable[[str, str],
 def _across(rows: DataFrame, items: DataFrame, plausible: Callable[[str, str], Column]) -> DataFrame:
     """Pairs of different groups in a bucket: each item outside the main group against all others, once.
 
-    A pair that shares several buckets is made in the one of its first common key.
+    A pair that shares several buckets is made in the one of its first common key, or without ``keys`` in each.
     """
     pieces = F.ceil(F.sqrt(F.col("work") / F.lit(MOST_WORK))).cast("int")
     rows = rows.withColumns({"_all": F.sequence(F.lit(0), pieces - 1), "_own": F.pmod(F.xxhash64("node"), pieces).cast("int")}).join(items, "node")
@@ -93,6 +93,6 @@ def _across(rows: DataFrame, items: DataFrame, plausible: Callable[[str, str], C
     right = right.withColumnsRenamed({c: "_r" + c for c in ("key", "_p", "_q")})
     cell = (F.col("key") == F.col("_rkey")) & (F.col("_p") == F.col("_r_p")) & (F.col("_q") == F.col("_r_q"))
     once = (F.col("xc") == F.col("main")) | (F.col("x") < F.col("y"))
-    here = F.array_position(F.zip_with("l_keys", "r_keys", lambda a, b: a == b), True) == F.col("i") + 1
+    here = F.array_position(F.zip_with("l_keys", "r_keys", lambda a, b: a == b), True) == F.col("i") + 1 if "keys" in own else F.lit(True)
     met = left.join(right, cell & (F.col("xc") != F.col("yc")) & once & plausible("l_", "r_") & here)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
