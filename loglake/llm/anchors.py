@@ -5,8 +5,8 @@ leftmost gram of smallest hash among them. Equal windows have equal anchors at e
 anchor occurs once in the corpus is unique and needs no further look. Few grams are anchors
 (about two in ``window - gram + 2``), so counting them costs little.
 
-Texts travel by the pair (doc_id, 32-bit hash of the text), so rows that share an id do not mix; rows
-equal in both are equal texts and may.
+Texts travel by the pair (doc_id, 64-bit hash of the text), so rows that share an id do not mix; rows
+equal in both are equal texts and may. A null id travels as 0.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,9 +79,14 @@ def _blocks(ends: np.ndarray, n: int, limit: int) -> Iterator[slice]:
             yield slice(max(0, e - n), min(e, limit))
 
 
+def key_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with the key (_d, _h) of each row."""
+    return docs.withColumns({"_d": F.coalesce(doc_id, F.lit(0)).cast("long"), "_h": F.xxhash64(text)})
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the second half of the key, dealt by key, so that later joins move the texts once."""
-    return in_small_batches(docs).select("doc_id", "text", F.hash("text").alias("_h"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("_d"))
+    """doc_id, text and the key, by which later joins move the texts."""
+    return key_of(in_small_batches(docs).select("doc_id", "text"))
 
 
 def anchor_table(docs: DataFrame, windows: Windows) -> DataFrame:
@@ -98,7 +104,7 @@ def anchor_table(docs: DataFrame, windows: Windows) -> DataFrame:
                     [pa.array(grams[at].view(np.int64)), batch.column("_d").take(take), batch.column("_h").take(take), pa.array((at - u.first[row]).astype(np.int32))], names=["fp", "_d", "_h", "at"]
                 )
 
-    return keyed(docs).select("text", "_d", "_h").mapInArrow(run, "fp bigint, _d bigint, _h int, at int")
+    return keyed(docs).select("text", "_d", "_h").mapInArrow(run, "fp bigint, _d bigint, _h bigint, at int")
 
 
 def lists(places: DataFrame, columns: str) -> DataFrame:
@@ -116,7 +122,7 @@ def lists_of(column: pa.Array, i: int, j: int) -> tuple[np.ndarray, dict[str, np
     part = column.slice(i, j - i)
     if isinstance(part, pa.ChunkedArray):
         part = part.combine_chunks()
-    counts = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(part), 0))
+    counts = np.asarray(pc.fill_null(pc.list_value_length(part), 0))
     flat = part.flatten()
     return np.repeat(np.arange(j - i), counts), {f.name: np.asarray(flat.field(k)) for k, f in enumerate(flat.type)}
 
@@ -163,7 +169,7 @@ def start_runs(start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Rows between tasks: one window (n = 1, len = 1), a name met twice (n = 2, len = 0), or a run of windows known to repeat.
-ROWS = "h1 bigint, h2 bigint, n int, _d bigint, _h int, at int, len int"
+ROWS = "h1 bigint, h2 bigint, n int, _d bigint, _h bigint, at int, len int"
 
 
 def window_rows(batch: pa.RecordBatch, i: int, u: Units, start: np.ndarray, windows: Windows) -> pa.RecordBatch:
@@ -187,7 +193,7 @@ def window_rows(batch: pa.RecordBatch, i: int, u: Units, start: np.ndarray, wind
 
 
 SPANS = f"{ROWS}, span binary"
-_SPAN_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+_SPAN_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 _SPAN_NAMES = [c.split()[0] for c in SPANS.split(", ")]
 
 
@@ -250,7 +256,7 @@ def settled(spans: DataFrame, repeats: Callable[[list[tuple[int, bytes]], list[i
 
     def made(out: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*out, strict=True)) or [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int32(), pa.int32(), pa.int32()], strict=True)], names=["_d", "_h", "at", "len"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True)], names=["_d", "_h", "at", "len"])
 
     def settle(rows: list[tuple]) -> list[tuple]:
         by_span: dict[tuple[int, bytes], list[tuple]] = {}
@@ -300,7 +306,7 @@ def settled(spans: DataFrame, repeats: Callable[[list[tuple[int, bytes]], list[i
         yield made(out + settle(held))
 
     n = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return spans.repartition(n, "h1").sortWithinPartitions("h1", "h2").mapInArrow(run, "_d bigint, _h int, at int, len int")
+    return spans.repartition(n, "h1").sortWithinPartitions("h1", "h2").mapInArrow(run, "_d bigint, _h bigint, at int, len int")
 
 
 def removed_units(batch: pa.RecordBatch, i: int, j: int, u: Units, window: int) -> np.ndarray:

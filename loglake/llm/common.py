@@ -106,8 +106,8 @@ def slices(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int, np
         i = j
 
 
-_BREAK = np.zeros(256, bool)
-_BREAK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+BREAK = np.zeros(256, bool)
+BREAK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,7 +115,7 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     if not len(data):
         none = np.empty(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    inside = ~_BREAK[data]
+    inside = ~BREAK[data]
     before, after = np.empty_like(inside), np.empty_like(inside)
     before[0], before[1:] = False, inside[:-1]
     after[-1], after[:-1] = False, inside[1:]
@@ -181,6 +181,11 @@ def row_of(first: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
 
 
+def spread(starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """All positions of the spans, in order."""
+    return np.arange(int(length.sum())) + np.repeat(starts - (np.cumsum(length) - length), length)
+
+
 def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each window of w values, by block prefix and suffix minima."""
     n = len(values)

@@ -96,3 +96,67 @@ def _across(rows: DataFrame, items: DataFrame, plausible: Callable[[str, str], C
     here = F.array_position(F.zip_with("l_keys", "r_keys", lambda a, b: a == b), True) == F.col("i") + 1 if "keys" in own else F.lit(True)
     met = left.join(right, cell & (F.col("xc") != F.col("yc")) & once & plausible("l_", "r_") & here)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def led_pairs(rows: list[DataFrame], items: DataFrame, plausible: Callable[[str, str], Column], texts: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """As :func:`link`, for items whose plausible pairs are few and whose texts are dear: they are read once.
+
+    ``rows`` (key, node, weight, in parts that are dealt one after the other) name the buckets, ``items`` has node and what
+    ``plausible`` reads. Of each bucket the item of most weight leads. Every plausible pair of a bucket is either led
+    (both sides are plausible with the leader) or has a side that is not, and then it is made here; so the items of all
+    plausible pairs are known before any text is read. ``texts`` gets them (node), ``verify`` the texts and pairs (a, b).
+    Led items that turn out not to be links of their leader are compared with the other led ones at the end.
+    """
+    shared = []
+    for part in rows:
+        sizes = part.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.max("weight").alias("_top")).where("m > 1")
+        shared.append(written(part.join(sizes, "key").select("key", "node", "m", (F.col("weight") == F.col("_top")).alias("first")), "buckets"))
+        release(items.sparkSession)
+    own = shared[0]
+    for part in shared[1:]:
+        own = own.union(part)
+    leaders = own.where("first").groupBy("key").agg(F.min("node").alias("leader"))
+    led = written(own.join(leaders, "key").where("node <> leader").select("key", "node", "leader", "m"), "led")
+    for part in shared:
+        drop_written(part)
+    ends = (F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+    star = written(_tested(led.select(*ends).distinct(), items, plausible), "star")
+    # Buckets of two are done. In others, the rest of the bucket is compared with the items that are not led.
+    near = star.withColumn("near", F.lit(True))
+    marked = written(led.where("m > 2").withColumns({"a": ends[0], "b": ends[1]}).join(near, ["a", "b"], "left").select("key", "node", "a", "b", F.coalesce("near", F.lit(False)).alias("near")), "marked")
+    drop_written(led)
+    far = _crossed(marked, "NOT near", items, plausible)
+    pairs = star.union(far).distinct()
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    read = texts(nodes)
+    links = written(verify(read, pairs), "links")
+    # Led in name only: plausible with the leader, but no link.
+    held = marked.where("near").join(links.withColumn("held", F.lit(True)), ["a", "b"], "left").select("key", "node", F.coalesce("held", F.lit(False)).alias("held"))
+    held = written(held, "held")
+    drop_written(marked)
+    late = _crossed(held, "NOT held", items, plausible)
+    more = written(verify(read, late.join(pairs, ["a", "b"], "left_anti")), "links")
+    for table in (star, far, read, held, late):
+        drop_written(table)
+    return links.union(more)
+
+
+def _crossed(rows: DataFrame, marks: str, items: DataFrame, plausible: Callable[[str, str], Column]) -> DataFrame:
+    """Plausible pairs of a bucket of which ``marks`` holds for at least one row; each pair once.
+
+    A bucket with much work is cut into pieces on both sides, and each piece meets each of the other side's in a task of its own.
+    """
+    mark = F.expr(marks)
+    work = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum(mark.cast("int")).alias("n")).where("n > 0 AND m > 1")
+    pieces = F.ceil(F.sqrt(F.col("m") * F.col("n") / F.lit(MOST_WORK))).cast("int")
+    dealt = rows.select("key", "node", mark.alias("mark")).join(work.select("key", pieces.alias("pieces")), "key").join(items, "node")
+    dealt = dealt.withColumns({"_all": F.sequence(F.lit(0), F.col("pieces") - 1), "_own": F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")})
+    dealt = written(dealt.drop("pieces"), "dealt")
+    own = [c for c in items.columns if c != "node"]
+    left = dealt.select("key", F.col("_own").alias("_p"), F.explode("_all").alias("_q"), F.col("node").alias("x"), F.col("mark").alias("xm"), *[F.col(c).alias("l_" + c) for c in own])
+    right = dealt.where("mark").select(F.col("key").alias("_rkey"), F.explode("_all").alias("_r_p"), F.col("_own").alias("_r_q"), F.col("node").alias("y"), *[F.col(c).alias("r_" + c) for c in own])
+    cell = (F.col("key") == F.col("_rkey")) & (F.col("_p") == F.col("_r_p")) & (F.col("_q") == F.col("_r_q"))
+    once = (F.col("x") != F.col("y")) & (~F.col("xm") | (F.col("x") < F.col("y")))
+    out = written(left.join(right.hint("merge"), cell & once & plausible("l_", "r_")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "crossed")
+    drop_written(dealt)
+    return out
