@@ -60,10 +60,7 @@ def link(rows: DataFrame, prepare: Callable[[DataFrame], DataFrame], plausible:
 
     named = shared.join(labels, "node", "left").select("key", "i", "node", F.coalesce("comp", "node").alias("comp"))
     named = written(named, "named")
-    # Buckets that hold more than one group, with their largest group and their work.
-    sizes = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    mixed = sizes.groupBy("key").agg(F.sum("c").alias("m"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("most"), F.count(F.lit(1)).alias("groups"))
-    mixed = written(mixed.where("groups > 1").select("key", "main", (F.col("m") * (F.col("m") - F.col("most"))).alias("work")), "mixed")
+    mixed = _mixed(named)
     pairs = _across(named.join(mixed, "key"), items, plausible)
     pairs = pairs.distinct().join(star, ["a", "b"], "left_anti")
     # The groups so far are stars of their own, which say the same as the links and settle at once.
@@ -88,24 +85,25 @@ def _across(rows: DataFrame, items: DataFrame, plausible: Callable[[str, str], C
     pieces = F.ceil(F.sqrt(F.col("work") / F.lit(MOST_WORK))).cast("int")
     rows = rows.withColumns({"_all": F.sequence(F.lit(0), pieces - 1), "_own": F.pmod(F.xxhash64("node"), pieces).cast("int")}).join(items, "node")
     own = [c for c in items.columns if c != "node"]
-    left = rows.select("key", "i", F.col("_own").alias("_p"), F.explode("_all").alias("_q"), F.col("node").alias("x"), F.col("comp").alias("xc"), "main", *[F.col(c).alias("l_" + c) for c in own])
+    which = ["i"] if "keys" in own else []
+    left = rows.select("key", *which, F.col("_own").alias("_p"), F.explode("_all").alias("_q"), F.col("node").alias("x"), F.col("comp").alias("xc"), "main", *[F.col(c).alias("l_" + c) for c in own])
     right = rows.where("comp <> main").select("key", F.explode("_all").alias("_p"), F.col("_own").alias("_q"), F.col("node").alias("y"), F.col("comp").alias("yc"), *[F.col(c).alias("r_" + c) for c in own])
     right = right.withColumnsRenamed({c: "_r" + c for c in ("key", "_p", "_q")})
     cell = (F.col("key") == F.col("_rkey")) & (F.col("_p") == F.col("_r_p")) & (F.col("_q") == F.col("_r_q"))
     once = (F.col("xc") == F.col("main")) | (F.col("x") < F.col("y"))
-    here = F.array_position(F.zip_with("l_keys", "r_keys", lambda a, b: a == b), True) == F.col("i") + 1 if "keys" in own else F.lit(True)
+    here = F.array_position(F.zip_with("l_keys", "r_keys", lambda a, b: a == b), True) == F.col("i") + 1 if which else F.lit(True)
     met = left.join(right, cell & (F.col("xc") != F.col("yc")) & once & plausible("l_", "r_") & here)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def led_pairs(rows: list[DataFrame], items: DataFrame, plausible: Callable[[str, str], Column], texts: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """As :func:`link`, for items whose plausible pairs are few and whose texts are dear: they are read once.
+def grouped(rows: list[DataFrame], items: DataFrame, plausible: Callable[[str, str], Column], texts: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """node, comp of every linked item, as ``components(link(...))``, for items whose texts are dear: those are read once.
 
     ``rows`` (key, node, weight, in parts that are dealt one after the other) name the buckets, ``items`` has node and what
-    ``plausible`` reads. Of each bucket the item of most weight leads. Every plausible pair of a bucket is either led
-    (both sides are plausible with the leader) or has a side that is not, and then it is made here; so the items of all
-    plausible pairs are known before any text is read. ``texts`` gets them (node), ``verify`` the texts and pairs (a, b).
-    Led items that turn out not to be links of their leader are compared with the other led ones at the end.
+    ``plausible`` reads. Of each bucket the item of most weight leads. ``texts`` gets the items of plausible pairs (node), ``verify``
+    the texts and pairs (a, b). Groups are first formed on trust, from the plausible pairs with leaders, and pairs between such groups are
+    made. So every item of a plausible pair is known before any text is read: a pair within a group has both sides in a pair with
+    a leader. Verified pairs then form the groups that hold, and pairs between those are made last.
     """
     shared = []
     for part in rows:
@@ -119,44 +117,41 @@ def led_pairs(rows: list[DataFrame], items: DataFrame, plausible: Callable[[str,
     led = written(own.join(leaders, "key").where("node <> leader").select("key", "node", "leader", "m"), "led")
     for part in shared:
         drop_written(part)
-    ends = (F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-    star = written(_tested(led.select(*ends).distinct(), items, plausible), "star")
-    # Buckets of two are done. In others, the rest of the bucket is compared with the items that are not led.
-    near = star.withColumn("near", F.lit(True))
-    marked = written(led.where("m > 2").withColumns({"a": ends[0], "b": ends[1]}).join(near, ["a", "b"], "left").select("key", "node", "a", "b", F.coalesce("near", F.lit(False)).alias("near")), "marked")
+    pairs = led.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    star = written(_tested(pairs, items, plausible), "star")
+    # Buckets of two are done; in others, leaders have met all.
+    many = written(led.where("m > 2").select("key", "node"), "many")
     drop_written(led)
-    far = _crossed(marked, "NOT near", items, plausible)
+    trusted = components(star)
+    far = _between(many, trusted, items, plausible)
+    drop_written(trusted)
     pairs = star.union(far).distinct()
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    read = texts(nodes)
-    links = written(verify(read, pairs), "links")
-    # Led in name only: plausible with the leader, but no link.
-    held = marked.where("near").join(links.withColumn("held", F.lit(True)), ["a", "b"], "left").select("key", "node", F.coalesce("held", F.lit(False)).alias("held"))
-    held = written(held, "held")
-    drop_written(marked)
-    late = _crossed(held, "NOT held", items, plausible)
-    more = written(verify(read, late.join(pairs, ["a", "b"], "left_anti")), "links")
-    for table in (star, far, read, held, late):
+    read = texts(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    links = written(verify(read, pairs), "edges")
+    labels = components(links)
+    late = _between(many, labels, items, plausible).join(pairs, ["a", "b"], "left_anti")
+    more = written(verify(read, late), "edges")
+    if not more.isEmpty():
+        # The groups so far are stars of their own, which say the same as the links and settle at once.
+        old, labels = labels, components(labels.select(F.col("comp").alias("a"), F.col("node").alias("b")).union(more))
+        drop_written(old)
+    for table in (star, far, many, read, links, late, more):
         drop_written(table)
-    return links.union(more)
+    return labels
 
 
-def _crossed(rows: DataFrame, marks: str, items: DataFrame, plausible: Callable[[str, str], Column]) -> DataFrame:
-    """Plausible pairs of a bucket of which ``marks`` holds for at least one row; each pair once.
-
-    A bucket with much work is cut into pieces on both sides, and each piece meets each of the other side's in a task of its own.
-    """
-    mark = F.expr(marks)
-    work = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum(mark.cast("int")).alias("n")).where("n > 0 AND m > 1")
-    pieces = F.ceil(F.sqrt(F.col("m") * F.col("n") / F.lit(MOST_WORK))).cast("int")
-    dealt = rows.select("key", "node", mark.alias("mark")).join(work.select("key", pieces.alias("pieces")), "key").join(items, "node")
-    dealt = dealt.withColumns({"_all": F.sequence(F.lit(0), F.col("pieces") - 1), "_own": F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")})
-    dealt = written(dealt.drop("pieces"), "dealt")
-    own = [c for c in items.columns if c != "node"]
-    left = dealt.select("key", F.col("_own").alias("_p"), F.explode("_all").alias("_q"), F.col("node").alias("x"), F.col("mark").alias("xm"), *[F.col(c).alias("l_" + c) for c in own])
-    right = dealt.where("mark").select(F.col("key").alias("_rkey"), F.explode("_all").alias("_r_p"), F.col("_own").alias("_r_q"), F.col("node").alias("y"), *[F.col(c).alias("r_" + c) for c in own])
-    cell = (F.col("key") == F.col("_rkey")) & (F.col("_p") == F.col("_r_p")) & (F.col("_q") == F.col("_r_q"))
-    once = (F.col("x") != F.col("y")) & (~F.col("xm") | (F.col("x") < F.col("y")))
-    out = written(left.join(right.hint("merge"), cell & once & plausible("l_", "r_")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "crossed")
-    drop_written(dealt)
+def _between(rows: DataFrame, labels: DataFrame, items: DataFrame, plausible: Callable[[str, str], Column]) -> DataFrame:
+    """Plausible pairs (a, b) of different groups that share a bucket of ``rows`` (key, node)."""
+    named = written(rows.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")), "named")
+    mixed = _mixed(named)
+    out = written(_across(named.join(mixed, "key"), items, plausible).distinct(), "crossed")
+    drop_written(named)
+    drop_written(mixed)
     return out
+
+
+def _mixed(named: DataFrame) -> DataFrame:
+    """key, main and work of the buckets that hold more than one group: the largest of them, and how many pairs are to be looked at."""
+    sizes = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    by_key = sizes.groupBy("key").agg(F.sum("c").alias("m"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("most"), F.count(F.lit(1)).alias("groups"))
+    return written(by_key.where("groups > 1").select("key", "main", (F.col("m") * (F.col("m") - F.col("most"))).alias("work")), "mixed")
