@@ -112,9 +112,9 @@ def lists(places: DataFrame, columns: str) -> DataFrame:
     return written(places.groupBy("_d", "_h").agg(F.array_sort(F.collect_set(F.struct(*columns.split()))).alias("_at")), "places")
 
 
-def with_lists(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Every row of ``docs`` with its list, null if it has none. All uses in a query share one exchange of the texts."""
-    return keyed(docs).join(found, ["_d", "_h"], "left").select("doc_id", "text", "_d", "_h", "_at")
+def with_lists(docs: DataFrame, found: DataFrame, how: str = "left") -> DataFrame:
+    """Every row of ``docs`` with its list, null if it has none, or only those with one. All uses in a query share one exchange of the texts."""
+    return keyed(docs).join(found, ["_d", "_h"], how).select("doc_id", "text", "_d", "_h", "_at")
 
 
 def lists_of(column: pa.Array, i: int, j: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -244,7 +244,7 @@ def emitted(docs: DataFrame, found: DataFrame, windows: Windows, content: Callab
                 made = window_rows(batch, i, u, start[~cool], windows)
                 yield pa.RecordBatch.from_arrays([*made.columns, pa.nulls(made.num_rows, pa.binary())], names=_SPAN_NAMES)
 
-    return with_lists(docs, found).mapInArrow(run, SPANS)
+    return with_lists(docs, found, "inner").mapInArrow(run, SPANS)
 
 
 def settled(spans: DataFrame, repeats: Callable[[list[tuple[int, bytes]], list[int]], list[np.ndarray]], most: int = 1 << 20) -> DataFrame:

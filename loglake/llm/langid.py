@@ -15,6 +15,7 @@ import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from .common import crc_mod, in_small_batches
 
@@ -32,13 +33,15 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, slice_bytes: int = SLIC
     """One dictionary per language from a bounded sample of labelled rows (text and lang not null).
 
     The sample is the rows of lowest hash: a first pass counts each language, a second keeps the share
-    that yields a few times ``sample_docs`` rows, of which the lowest hashes stay. At most
-    ``sample_docs * slice_bytes`` bytes per language reach the driver. An empty table gives no language.
+    that yields a few times ``sample_docs`` rows, of which the lowest hashes stay. Of a long text a slice counts, from a place that
+    its hash chooses. At most ``sample_docs * slice_bytes`` characters per language reach the driver. An empty table gives no language.
     """
+    h = F.xxhash64("doc_id", "text")
+    place = F.pmod(h, F.greatest(F.length("text") - slice_bytes + 1, F.lit(1)).cast("long")).cast("int") + 1
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0)).select(
-        F.col("lang").alias("_lang"), F.substring(F.col("text"), 1, slice_bytes).alias("_part"), F.xxhash64("doc_id", "text").alias("_h")
+        F.col("lang").alias("_lang"), F.substring(F.col("text"), place, F.lit(slice_bytes)).alias("_part"), h.alias("_h")
     )
-    counts = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(256).collect()}
+    counts = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return {}
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2.0 * sample_docs / n + 16.0 / n))])
@@ -82,7 +85,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MAR
     """``docs`` plus lang_pred, score and rejected; columns of those names in the input are replaced."""
     names = list(dictionaries)
     docs = in_small_batches(docs).drop("lang_pred", "score", "rejected")
-    schema = docs.schema.simpleString()[len("struct<") : -1]
+    schema = StructType([*docs.schema, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = encoders(dictionaries)
@@ -93,19 +96,26 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MAR
                 names=[*batch.schema.names, "lang_pred", "score", "rejected"],
             )
 
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
+    return docs.mapInArrow(run, schema)
+
+
+def _held_out():
+    """Whether a row is held out; one without id is not."""
+    return F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
 
 
 def identify(docs: DataFrame, **bounds: int) -> DataFrame:
-    """Learns from rows outside the held-out quarter and predicts every row from its text alone."""
-    model = fit(docs.where(crc_mod("doc_id", 4) != 2), **bounds)
-    return predict(docs.select("doc_id", "text"), model).select(
-        "doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected"
-    )
+    """doc_id, held_out, lang_pred, score, rejected: learns from rows outside the held-out quarter and predicts every row from its text alone."""
+    model = fit(docs.where(~_held_out()), **bounds)
+    return predict(docs.select("doc_id", "text"), model).select("doc_id", _held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The rows whose language is recognised, with their columns unchanged: what a cleaning stage keeps."""
-    columns = docs.columns
-    model = fit(docs.where(crc_mod("doc_id", 4) != 2))
-    return predict(docs, model).where((F.col("lang_pred") != UNKNOWN) & ~F.col("rejected")).select(*columns)
+    """The rows whose language is recognised, with their columns unchanged: what a cleaning stage keeps.
+
+    Columns may have any names; they travel numbered beside the text.
+    """
+    model = fit(docs.where(~_held_out()))
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    rows = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index("text")]))
+    return predict(rows, model).where((F.col("lang_pred") != UNKNOWN) & ~F.col("rejected")).select(*names).toDF(*docs.columns)

@@ -65,7 +65,10 @@ def link(rows: DataFrame, prepare: Callable[[DataFrame], DataFrame], plausible:
     pairs = pairs.distinct().join(star, ["a", "b"], "left_anti")
     # The groups so far are stars of their own, which say the same as the links and settle at once.
     stars = labels.where("node <> comp").select(F.col("comp").alias("a"), F.col("node").alias("b"))
-    return stars.union(written(verify(pairs), "edges"))
+    out = written(stars.union(verify(pairs)), "found")
+    for table in (shared, star, links, labels, named, mixed):
+        drop_written(table)
+    return out
 
 
 def _side(items: DataFrame, node: str, prefix: str) -> DataFrame:

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import in_small_batches
 
@@ -150,9 +151,9 @@ def store(payload: bytes) -> tuple[bytes, int]:
 
 
 def to_media(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
-    """``docs`` with its text stored as PNG bytes in a binary column. Null and empty texts become one row of zeros."""
+    """``docs`` with its text stored as PNG bytes in a binary column, which replaces one of that name. Null and empty texts become one row of zeros."""
     docs = docs.drop(media) if media != text else docs
-    schema = docs.schema.simpleString()[len("struct<") : -1]
+    schema = StructType([*docs.schema, StructField(media, BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +161,7 @@ def to_media(docs: DataFrame, text: str = "text", media: str = "media") -> DataF
                 made = pa.array([store((t.as_py() or "").encode())[0] for t in part.column(text)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, media])
 
-    return docs.mapInArrow(run, f"{schema}, `{media}` binary")
+    return docs.mapInArrow(run, schema)
 
 
 def _small(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, in_small_batches, mix, row_of, slices, split_words, written
+from .common import Rolling, drop_written, in_small_batches, mix, row_of, slices, split_words, written
 from .linking import components, link
 
 SHINGLE, PERCENT = 5, 75
@@ -206,6 +206,7 @@ def groups(docs: DataFrame) -> DataFrame:
     rows = items.select("node", F.posexplode("keys").alias("i", "key")).select("key", "i", "node")
     bits = [f"g{k}" for k in range(_LONGS)]
     sets: list[DataFrame] = []
+    traits: list[DataFrame] = []
 
     def prepare(candidates: DataFrame) -> DataFrame:
         sets.append(written(_sets(docs, candidates), "sets"))
@@ -213,17 +214,25 @@ def groups(docs: DataFrame) -> DataFrame:
         maps = [f"m{k}" for k in range(MAP)]
         # A row's own set is the one of its size where documents share an id; more rows only mean more comparisons.
         known = items.select("node", "n", "keys", *bits).join(sets[0].select("node", "most", (F.length("set") / 8).cast("long").alias("n"), *maps), ["node", "n"]).join(_lone(sets[0]), "node", "left")
-        return written(known.select("node", "n", (F.col("most") > LARGE).alias("large"), lone.alias("lone"), (lone / F.col("n")).alias("rank"), *bits, *maps, "keys"), "traits")
-
-    labels = components(link(rows, prepare, plausible, lambda pairs: _confirm(sets[0], pairs)))
+        traits.append(written(known.select("node", "n", (F.col("most") > LARGE).alias("large"), lone.alias("lone"), (lone / F.col("n")).alias("rank"), *bits, *maps, "keys"), "traits"))
+        return traits[0]
+
+    links = link(rows, prepare, plausible, lambda pairs: _confirm(sets[0], pairs))
+    for table in (*sets, *traits, items):
+        drop_written(table)
+    labels = components(links)
+    drop_written(links)
     # Exact copies hang on their class.
     own = signed.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left").join(labels, "node", "left")
     component = F.coalesce("comp", "node", "doc_id")
     out = own.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = written(out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")), "components")
+    for table in (signed, classes, labels):
+        drop_written(table)
+    return out
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group, columns unchanged; of rows that share the kept id all stay."""
-    kept = groups(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "_keep"), docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
+    kept = groups(docs).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep"]), "left_semi")

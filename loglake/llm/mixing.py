@@ -6,7 +6,8 @@ exponential tilt of the odds by document length, ``r / (CAP - r) = exp(lambda *
 with one multiplier per source. The multipliers solve a smooth convex dual by Newton steps, each one
 aggregation over the lengths of all documents. Rates become copies by a hash of the document against the
 fractional part; the cut of each source is moved, over nested bins of all documents, until
-the words taken meet its target, and the one document on the cut takes part of its last copy.
+the words taken meet its target. In the plan the one document on the cut takes part of its last copy; where rows are made, that part is
+rounded to a whole copy or none, so no text is cut.
 
 Only tables of one row per source, or per source and length or bin, are gathered anywhere; joins with
 them are left to the optimizer, which broadcasts by measured size.
@@ -31,12 +32,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and the hash that orders documents at a cut. A null text has size 0."""
+    """doc_id, source, size and the hash that orders documents at a cut, of id and source, and of the text where there is no id. A null text has size 0."""
     return docs.select(
         "doc_id",
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        (F.shiftrightunsigned(F.xxhash64("doc_id", "source", F.lit("mix")), 12) / F.lit(float(1 << 52))).alias("unit"),
+        (F.shiftrightunsigned(F.xxhash64("doc_id", "source", F.lit("mix"), F.when(F.col("doc_id").isNull(), F.col("text"))), 12) / F.lit(float(1 << 52))).alias("unit"),
     )
 
 
@@ -111,9 +112,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP)
     gives an empty result. Runs agree: order at a cut is a hash of the row.
     """
     rows = written(sizes(docs), "sizes")
+    used = [rows]
     lengths = written(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "lengths")
     goals = written(targets(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size")), weights, cap), "goals")
     duals = written(solve(lengths, goals, cap), "duals")
+    used += [lengths, goals, duals]
     full = F.col("lam").isNull()
     rate = F.when(full, F.lit(float(cap))).otherwise(_rate(F.col("lam") * F.col("size") / F.col("mean"), cap))
     base = F.when(full, F.lit(cap)).otherwise(F.least(F.floor(rate), F.lit(cap - 1)))
@@ -132,28 +135,31 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP)
         # The first bin that reaches the need; through rounding there may be none, and then the last one serves.
         reached = F.min_by(F.struct("bin", "held", "_upto"), F.struct((F.col("_upto") < F.col("need")).cast("int").alias("a"), F.when(F.col("_upto") < F.col("need"), -F.col("bin")).otherwise(F.col("bin")).alias("b")))
         cut = bins.groupBy("source").agg(reached.alias("_c"), F.first("need").alias("need")).select("source", F.col("_c.bin").alias("at"), F.greatest(F.lit(0.0), F.col("need") - (F.col("_c._upto") - F.col("_c.held"))).alias("need"), F.col("_c.held").alias("held"))
-    cut = written(cut, "cut").withColumnRenamed("source", "_s")
+    cut = written(cut, "cut")
+    used.append(cut)
+    cut = cut.withColumnRenamed("source", "_s")
     rows = rows.join(cut, rows["source"].eqNullSafe(cut["_s"]), "left").drop("_s")
     part = F.least(F.col("size"), F.floor(F.col("size") * F.least(F.lit(1.0), F.col("need") / F.col("held")) + F.lit(0.5)))
     more = F.when(F.col("full") | (F.col("size") == 0) | F.col("at").isNull(), 0).when(F.col("place") < F.col("at"), F.col("size")).when(F.col("place") == F.col("at"), part).otherwise(0)
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("base") * F.col("size") + more).cast("long").alias("taken"))
+    out = written(rows.select("doc_id", "source", "size", "source_size", "target", (F.col("base") * F.col("size") + more).cast("long").alias("taken")), "plan")
+    for table in used:
+        drop_written(table)
+    return out
 
 
 def resample(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
-    """``docs`` as mixed: each row as many times as it has whole copies, and a last copy cut to the words that remain.
+    """``docs`` as mixed: each row as many times as it has copies; the part of a copy that a row on a cut takes is rounded to one or none.
 
-    A cut copy holds its first words joined by one space, with n_chars of that text where there is such a column.
-    Rows of equal id and source have equal copies. Rows without words are taken no time.
+    Rows keep their texts and all their columns, whatever these are called. Rows of equal id, source and size have equal
+    copies. Rows without words are taken no time.
     """
-    plan = mix(docs, weights, cap).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken"))
-    plan = plan.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), "taken")
-    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    on = [docs["doc_id"].eqNullSafe(plan["_d"]), docs["source"].eqNullSafe(plan["_s"]), words == plan["_n"]]
-    copies = F.when(F.col("taken") % F.col("_n") > 0, 1).otherwise(0) + F.floor(F.col("taken") / F.col("_n"))
-    rows = docs.join(plan, reduce(lambda a, b: a & b, on)).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
-    is_cut = F.col("_copy") * F.col("_n") > F.col("taken")
-    text = F.when(is_cut, F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), F.lit(1), (F.col("taken") % F.col("_n")).cast("int")), " ")).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(is_cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    # Columns are numbered while they travel, so none clashes with the plan's.
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    at = {c: names[docs.columns.index(c)] for c in ("doc_id", "source", "text")}
+    copies = F.floor(F.max("taken") / F.first("size") + F.lit(0.5)).cast("int")
+    plan = mix(docs, weights, cap).where("taken > 0").groupBy("doc_id", "source", "size").agg(copies.alias("copies")).where("copies > 0")
+    rows = docs.toDF(*names)
+    words = F.coalesce(F.regexp_count(at["text"], F.lit(WORD)), F.lit(0)).cast("long")
+    on = [rows[at["doc_id"]].eqNullSafe(plan["doc_id"]), rows[at["source"]].eqNullSafe(plan["source"]), words == plan["size"]]
+    rows = rows.join(plan, reduce(lambda a, b: a & b, on)).select(*names, F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+    return rows.select(*names).toDF(*docs.columns)

@@ -22,6 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import Rolling, in_small_batches, mix, slices
 
@@ -462,7 +463,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, n_best: int
     added = [("n_pieces", "bigint", pa.int64()), ("best_score", "bigint", pa.int64()), ("n_best_scores", "array<bigint>", pa.list_(pa.int64())), ("n_best_sha256", "array<string>", pa.list_(pa.string())), ("round_trip", "boolean", pa.bool_())]
     added += [("ids", "array<int>", pa.list_(pa.int32()))] if keep_ids else []
     docs = in_small_batches(docs).drop(*[a[0] for a in added])
-    schema = ", ".join([docs.schema.simpleString()[len("struct<") : -1], *[f"{n} {t}" for n, t, _ in added]])
+    schema = StructType([*docs.schema, *StructType.fromDDL(", ".join(f"{n} {t}" for n, t, _ in added))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = vocabulary.compiled()
@@ -485,7 +486,7 @@ def decode(rows: DataFrame, ids: str = "ids", text: str = "text", model: str = M
     """``rows`` with the text that its ids spell; null ids give null. Byte runs that are no UTF-8 become U+FFFD."""
     vocabulary = Vocabulary.load(model)
     rows = rows.drop(text)
-    schema = f"{rows.schema.simpleString()[len('struct<') : -1]}, `{text}` string"
+    schema = StructType([*rows.schema, StructField(text, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = vocabulary.compiled()

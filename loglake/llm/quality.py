@@ -150,16 +150,24 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     windows = np.flatnonzero(longest_here >= WINDOW)
     mask = covered(len(rank), windows, windows + WINDOW)
     out["n_repeat_words"] = np.bincount(owner[mask], minlength=rows)[:rows]
-    spans_from, spans_to, longest = [], [], np.zeros(rows, np.int64)
-    for length, left, last in repeat_intervals(lcp, MIN_REPEAT):
-        at = suffixes[left : last + 1]
-        spans_from.append(at)
-        spans_to.append(at + length)
-        row = owner[at[0]]
-        longest[row] = max(longest[row], length)
-    mask = covered(len(rank), np.concatenate(spans_from), np.concatenate(spans_to)) if spans_from else np.zeros(len(rank), bool)
-    out |= {"n_covered": np.bincount(owner[mask], minlength=rows)[:rows], "longest_repeat": longest}
-    return out
+    # The deepest interval that holds a suffix has the greater of its two common prefixes for length: the longest repeat
+    # there. Shorter intervals around it add nothing to the union, so each suffix gives one span.
+    deep = np.flatnonzero(longest_here >= MIN_REPEAT)
+    mask = covered(len(rank), deep, deep + longest_here[deep])
+    longest = np.zeros(rows, np.int64)
+    np.maximum.at(longest, owner[deep], longest_here[deep])
+    return out | {"n_covered": np.bincount(owner[mask], minlength=rows)[:rows], "longest_repeat": longest}
+
+
+def maximal_repeats(text: str, least: int = MIN_REPEAT) -> list[tuple[int, int, str]]:
+    """(words, occurrences, one occurrence with single spaces) of every interval of one text, the longest first."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    starts, ends, _ = split_words(data, np.array([0, len(data)]))
+    words = [data[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    names = {w: k for k, w in enumerate(sorted(set(words)))}
+    suffixes, lcp = suffix_array(np.array([names[w] for w in words], np.int64))
+    found = [(n, last - left + 1, b" ".join(words[suffixes[left] : suffixes[left] + n]).decode()) for n, left, last in repeat_intervals(lcp, least)]
+    return sorted(found, key=lambda f: (-f[0], -f[1], f[2]))
 
 
 def verdict(m: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

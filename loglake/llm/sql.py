@@ -23,16 +23,19 @@ def _covered(name: str, m: int) -> str:
 
 OP5 = rf"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
-{_covered("c8", 8)}, {_covered("c10", 10)}, {_covered("c151", 151)},
+{_covered("c8", 8)}, {_covered("c10", 10)},
+w10 AS MATERIALIZED (SELECT r, s, md5(array_to_string(w[s:s + 9], ' ')) AS win FROM (SELECT r, w, unnest(range(1, len(w) - 8)) AS s FROM d)),
+twice AS (SELECT a.r, b.s - a.s AS shift, a.s FROM w10 a JOIN w10 b ON a.r = b.r AND a.win = b.win AND a.s < b.s),
+longest AS (SELECT r, max(n) + 9 AS n FROM (SELECT r, count(*) AS n FROM (SELECT r, shift, s - row_number() OVER (PARTITION BY r, shift ORDER BY s) AS run FROM twice) GROUP BY r, shift, run) GROUP BY r),
 lines AS (SELECT r, line FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY r),
 b AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
   CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
-  CAST(coalesce(c8.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(c10.n, 0) AS BIGINT) AS n_covered, coalesce(c151.n, 0) AS n_long
-  FROM d LEFT JOIN dup USING (r) LEFT JOIN c8 USING (r) LEFT JOIN c10 USING (r) LEFT JOIN c151 USING (r)),
+  CAST(coalesce(c8.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(c10.n, 0) AS BIGINT) AS n_covered, CAST(coalesce(longest.n, 0) AS BIGINT) AS longest_repeat
+  FROM d LEFT JOIN dup USING (r) LEFT JOIN c8 USING (r) LEFT JOIN c10 USING (r) LEFT JOIN longest USING (r)),
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered, base_failed,
-  NOT base_failed AND 100 * n_covered <= 25 * n_words AND n_long = 0 AS kept FROM f
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered, longest_repeat, base_failed,
+  NOT base_failed AND 100 * n_covered <= 25 * n_words AND longest_repeat <= 150 AS kept FROM f
 """
 
 OP7 = rf"""

@@ -1,26 +1,32 @@
-"""Substring dedup over a log-structured index of window fingerprints.
+"""Incremental substring dedup over a log-structured index of window fingerprints.
 
-The index holds sorted immutable runs of (fingerprint, count). A batch of documents becomes a new run;
-the run is merge-joined with the history to tell which of its fingerprints are known, and runs of
-one level are compacted into a run of the next by merging their counts. Fingerprints are the anchors of all
-windows (see ``anchors``), so the index grows with a tenth of the words. Documents with fingerprints that the
-compacted index counts twice are read once more, and their windows are verified by names of the
+Fingerprints are the anchors of all windows (see ``anchors``), so the index grows with a tenth of the words. The index
+consists of immutable runs, sorted by fingerprint, of where each one stands. A batch of documents becomes a new
+run of level 0; the batch's fingerprints are merge-joined with the runs before it, and those known there, or met twice in the batch itself, are hits.
+Texts with hits, of the batch and of the history, are read, and their windows are verified by names of the
 whole word sequence: 64 bits among the windows of one fingerprint, itself 64 bits of some of their words, or
-128 bits where a fingerprint is so frequent that its windows are counted apart.
+128 bits where a fingerprint is so frequent that its windows are counted apart. Runs of one level are compacted into one of the next.
+
+An index lives in a folder and outlasts the session: which runs are live stands in numbered state files,
+of which each is created once, so a lost driver leaves the last state that was complete.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..model import Conflict
+from ..operators.files import Store
 from .anchors import Units, Windows, anchor_table, emitted, lists, names_of, removed_units, settled, with_lists, words
-from .common import drop_written, slices, written
+from .common import drop_written, shared_dir, slices, written
 
 #: Words of a window, words of a fingerprinted gram, batches in which a whole table is indexed, runs of a level.
 WINDOW, GRAM, BATCHES, FANOUT = 35, 12, 2, 2
@@ -29,51 +35,66 @@ HOT, SLICE = 512, 2 << 20
 
 
 class FingerprintIndex:
-    """Sorted immutable runs in the shared folder. A run has one row per fingerprint."""
-
-    def __init__(self, fanout: int = FANOUT) -> None:
-        self.fanout = fanout
-        self.runs: list[tuple[int, DataFrame]] = []
-
-    @staticmethod
-    def _sorted_run(counts: DataFrame, level: int) -> DataFrame:
-        return written(counts.sortWithinPartitions("fp"), f"run-{level}")
-
-    @staticmethod
-    def _merge(a: DataFrame, b: DataFrame) -> DataFrame:
-        b = b.withColumnRenamed("n", "_n")
-        return a.hint("merge").join(b, "fp", "full").select("fp", (F.coalesce("n", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n"))
-
-    def add(self, fingerprints: DataFrame) -> DataFrame:
-        """Adds a batch (one row per occurrence) as a run, and returns the batch's run."""
-        run = self._sorted_run(fingerprints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), 0)
-        self.runs.append((0, run))
-        return run
-
-    def known(self, run: DataFrame) -> DataFrame:
-        """The fingerprints of a batch that occur in the runs before it or twice in it."""
-        before = [r for _, r in self.runs if r is not run]
-        out = run.where("n > 1").select("fp")
-        for r in before:
-            out = out.union(run.hint("merge").join(r.select("fp"), "fp").select("fp"))
-        return out.distinct()
-
-    def compact(self, everything: bool = False) -> None:
-        """Merges runs while a level has ``fanout`` of them, or all runs into one; merged runs are deleted."""
-        while len(self.runs) > 1:
-            level = self.runs[-1][0]
-            same = [k for k, (l, _) in enumerate(self.runs) if l == level]
-            if len(same) < self.fanout and not everything:
+    """Sorted immutable runs of (fp, _d, _h, at) in a folder, by default a new one in the shared folder."""
+
+    def __init__(self, spark: SparkSession, root: str | None = None, fanout: int = FANOUT) -> None:
+        self.store, self.fanout = Store(spark, root or f"{shared_dir(spark)}/loglake-{uuid.uuid4().hex}"), fanout
+
+    def state(self) -> tuple[int, list[tuple[int, str]]]:
+        """(version, runs as (level, name)), the oldest first."""
+        known = [n for n, _ in self.store.list("state") if n.endswith(".json")]
+        if not known:
+            return 0, []
+        return int(known[-1][:-5]), [(level, name) for level, name in json.loads(self.store.read(f"state/{known[-1]}"))]
+
+    def _commit(self, version: int, runs: list[tuple[int, str]]) -> None:
+        if not self.store.create(f"state/{version + 1:012d}.json", json.dumps(runs).encode()):
+            raise Conflict("another writer changed the index")
+
+    def _written(self, places: DataFrame, level: int) -> str:
+        name = f"run-{level}-{uuid.uuid4().hex}"
+        places.select("fp", "_d", "_h", "at").sortWithinPartitions("fp").write.parquet(self.store.full(name))
+        return name
+
+    def run(self, name: str) -> DataFrame:
+        return self.store.spark.read.schema("fp bigint, _d bigint, _h bigint, at int").parquet(self.store.full(name))
+
+    def places(self) -> DataFrame | None:
+        """The entries of all runs, none of an empty index."""
+        out = None
+        for _, name in self.state()[1]:
+            out = self.run(name) if out is None else out.union(self.run(name))
+        return out
+
+    def absorb(self, batch: DataFrame) -> DataFrame:
+        """Adds a batch of places as a run. Returns the hits, written: fp, n (in the batch and before)."""
+        version, runs = self.state()
+        name = self._written(batch, 0)
+        hits = self.run(name).groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+        for _, old in runs:
+            before = self.run(old).groupBy("fp").agg(F.count(F.lit(1)).alias("_n"))
+            hits = hits.hint("merge").join(before, "fp", "left").select("fp", (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"))
+        hits = written(hits.where("n > 1"), "hits")
+        self._commit(version, [*runs, (0, name)])
+        return hits
+
+    def compact(self) -> None:
+        """Merges the newest runs while ``fanout`` of one level follow each other; a state without them is committed before they go."""
+        while True:
+            version, runs = self.state()
+            last = runs[-self.fanout :]
+            if len(last) < self.fanout or len({level for level, _ in last}) > 1:
                 return
-            a, b = self.runs[-2], self.runs[-1]
-            merged = self._sorted_run(self._merge(a[1], b[1]), max(a[0], b[0]) + 1)
-            self.runs[-2:] = [(max(a[0], b[0]) + 1, merged)]
-            drop_written(a[1])
-            drop_written(b[1])
+            merged = self.run(last[0][1])
+            for _, name in last[1:]:
+                merged = merged.union(self.run(name))
+            level = last[0][0] + 1
+            self._commit(version, [*runs[: -self.fanout], (level, self._written(merged, level))])
+            for _, name in last:
+                self.store.delete(name)
 
-    def counts(self) -> DataFrame:
-        self.compact(everything=True)
-        return self.runs[0][1]
+    def drop(self) -> None:
+        self.store.delete("")
 
 
 def _known_names(spans: list[tuple[int, bytes]], numbers: list[int]) -> list[np.ndarray]:
@@ -91,29 +112,39 @@ def _known_names(spans: list[tuple[int, bytes]], numbers: list[int]) -> list[np.
     return [np.flatnonzero(again[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, hot: int = HOT) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and the kept words of every row.
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, hot: int = HOT, index: FingerprintIndex | None = None, history: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every row of ``docs``.
 
     A word goes if a window over it starts anywhere else too, in the same document or another; both
     sides of a repeat lose it. Null texts and texts under ``window`` words lose nothing; rows that repeat as a whole
-    lose all their words if they have ``window`` of them.
+    lose all their words if they have ``window`` of them. Rows that share an id are told apart by their texts, and null
+    ids by these alone; other columns are not read.
+
+    ``docs`` are indexed in ``batches`` parts, dealt by content. With an ``index``, ``history`` holds the documents (doc_id, text) it was built
+    from: repeats of those count too, while only ``docs`` are returned; afterwards the index holds both.
     """
     windows = Windows(words, window, gram, SLICE)
     table = written(anchor_table(docs, windows), "anchors")
-    index = FingerprintIndex()
-    for k in range(batches):
-        index.add(table.where(F.pmod(F.xxhash64("_d", "_h"), F.lit(batches)) == k))
-        index.compact()
-    counts = index.counts()
-    found = lists(table.join(counts.where("n > 1").select("fp", (F.col("n") > hot).cast("int").alias("hot")), "fp"), "at hot")
-    drop_written(table)
-    drop_written(counts)
+    own = index is None
+    index = FingerprintIndex(docs.sparkSession) if own else index
+    everything = docs.select("doc_id", "text") if history is None else docs.select("doc_id", "text").union(history.select("doc_id", "text"))
 
     def names(data: np.ndarray, u: Units, start: np.ndarray) -> Callable[[int, int], bytes]:
         own = names_of(u, start, window)[0]
         return lambda a, b: own[a:b].tobytes()
 
-    met = settled(emitted(docs, found, windows, names), _known_names).groupBy("_d", "_h").agg(F.array_sort(F.collect_set(F.struct("at", "len"))).alias("_at"))
+    met = None
+    for k in range(batches):
+        hits = index.absorb(table.where(F.pmod(F.xxhash64("_d", "_h"), F.lit(batches)) == k))
+        found = lists(index.places().join(hits.select("fp", (F.col("n") > hot).cast("int").alias("hot")), "fp"), "at hot")
+        drop_written(hits)
+        index.compact()
+        runs = settled(emitted(everything, found, windows, names), _known_names)
+        met = runs if met is None else met.union(runs)
+    drop_written(table)
+    if own:
+        index.drop()
+    met = met.groupBy("_d", "_h").agg(F.array_sort(F.collect_set(F.struct("at", "len"))).alias("_at"))
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:

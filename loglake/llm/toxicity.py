@@ -1,9 +1,9 @@
 """Toxicity from subword bags: hashed character n-grams of words, embedded, averaged, softmax on top.
 
-Embeddings and the softmax are trained together in numpy (Adagrad). A text is cut into segments of a few
-dozen words, each segment is one bag, and a text is as toxic as its worst segment, so one insult
-in a long text is not averaged away. Misspellings share most n-grams with the words they come from.
-Once trained, the softmax and the embeddings fold into one weight per n-gram, so scoring is a gather and a sum.
+A text's bag holds the n-grams of its distinct words; the mean of their vectors goes into a linear softmax. Vectors and softmax are
+trained together in numpy (Adagrad). Misspellings share most n-grams with the words they come from, and a word counts
+once however often a long text repeats its other words. Once trained, the softmax and the vectors fold into one weight per
+n-gram, so scoring is a gather and a mean.
 """
 
 from __future__ import annotations
@@ -15,74 +15,65 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, crc_mod, in_small_batches, row_of, slices, split_words
+from .common import Rolling, crc_mod, in_small_batches, row_of, slices, split_words, spread
 
-#: The fitted sample: at most so many labelled rows of each class, and so many bytes of each text.
-SAMPLE_PER_CLASS, SAMPLE_BYTES = 1200, 1 << 16
-BUCKETS, DIM, NGRAMS, SEGMENT = 1 << 17, 8, (4, 5, 6), 6
-EPOCHS, WARM, RATE = 14, 3, 0.5
+#: The fitted sample: at most so many labelled rows of each class, with their whole texts.
+SAMPLE_PER_CLASS = 1200
+BUCKETS, DIM, NGRAMS = 1 << 17, 8, (4, 5, 6)
+EPOCHS, RATE = 25, 1.0
+#: The logit of a text without a word.
+EMPTY = -6.0
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-_HASH = [Rolling(100 + n) for n in NGRAMS]
+_HASH, _WORD = [Rolling(100 + n) for n in NGRAMS], Rolling(99)
 
 
-def bags(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """n-gram buckets, the segment of each, and the index of each row's first segment; no word, no segment.
+def bags(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """n-gram buckets and the row of each, from the distinct words of every row, sorted by row.
 
-    n-grams are bytes of one word with the break on either side of it; segments are ``SEGMENT`` words.
+    n-grams are bytes of one word with the break on either side of it, ASCII letters lower-case. A word shorter than all of them has none.
     """
     starts, ends, first = split_words(data, offsets)
-    rows = len(offsets) - 1
     if not len(starts):
-        return np.empty(0, np.int32), np.empty(0, np.int32), np.zeros(rows + 1, np.int64)
+        return np.empty(0, np.int32), np.empty(0, np.int64)
+    lower, row = _LOWER[data], row_of(first)
+    word = _WORD.spans(_WORD.prefix(lower), starts, ends)
+    order = np.lexsort((word, row))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (word[order][1:] != word[order][:-1]) | (row[order][1:] != row[order][:-1])
+    kept = order[fresh]
+    starts, row, length = starts[kept], row[kept], (ends - starts)[kept]
     # Words side by side with one break between any two.
-    length = ends - starts
     at = np.concatenate([[0], np.cumsum(length + 1)]) + 1
     line = np.full(at[-1], 0x20, np.uint8)
-    line[_spread(at[:-1], length)] = _LOWER[data[_spread(starts, length)]]
-    in_row = np.arange(len(starts)) - first[row_of(first)]
-    segment = np.cumsum(in_row % SEGMENT == 0) - 1
+    line[spread(at[:-1], length)] = lower[spread(starts, length)]
     # Breaks up to each byte count its word; the break before a word belongs to the word before it.
     breaks = np.cumsum(line == 0x20, dtype=np.int32)
-    segment_at = segment[np.minimum(breaks - 1, len(starts) - 1)].astype(np.int32)
+    row_at = row[np.minimum(breaks - 1, len(row) - 1)]
     grams, owner = [], []
     for n, rolling in zip(NGRAMS, _HASH, strict=True):
         h = rolling.windows(rolling.prefix(line), n)
         # All breaks of a window must be its first or last byte.
         good = np.flatnonzero(breaks[n - 2 : n - 2 + len(h)] == breaks[: len(h)])
         grams.append((h[good] & np.uint64(BUCKETS - 1)).astype(np.int32))
-        owner.append(segment_at[good])
-    row_segments = np.concatenate([segment, [segment[-1] + 1]])[first]
-    return np.concatenate(grams), np.concatenate(owner), row_segments
+        owner.append(row_at[good])
+    return np.concatenate(grams), np.concatenate(owner)
 
 
-def _spread(starts: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """All positions of the spans, in order."""
-    total = int(length.sum())
-    shift = np.repeat(starts - np.concatenate([[0], np.cumsum(length[:-1])]), length)
-    return np.arange(total) + shift
+def logits(weights: np.ndarray, bias: float, grams: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
+    counts = np.bincount(owner, minlength=rows)
+    return np.where(counts > 0, np.bincount(owner, weights[grams], minlength=rows) / np.maximum(counts, 1) + bias, EMPTY)
 
 
-def segment_logits(weights: np.ndarray, bias: float, grams: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    counts = np.bincount(owner, minlength=n)
-    return np.bincount(owner, weights[grams], minlength=n) / np.maximum(counts, 1) + bias
-
-
-def row_max(values: np.ndarray, first: np.ndarray, empty: float) -> np.ndarray:
-    out = np.full(len(first) - 1, empty)
-    full = np.flatnonzero(np.diff(first) > 0)
-    if len(full):
-        out[full] = np.maximum.reduceat(values, first[:-1][full])
-    return out
-
-
-def train(texts: list[str], toxic: list[int], seed: int = 7) -> tuple[np.ndarray, float]:
-    """Folded weight of each n-gram bucket and the bias. Without both classes every text gets the known share."""
+def train(made: list[np.ndarray], toxic: list[int], seed: int = 7) -> tuple[np.ndarray, float]:
+    """Folded weight of each n-gram bucket and the bias, from the bags of texts. Without both classes every text gets the known share."""
     marks = np.asarray(toxic, np.int64)
     if not len(marks) or marks.min() == marks.max():
         return np.zeros(BUCKETS), float(-4.0 if not len(marks) or marks[0] == 0 else 4.0)
-    made = [bags(d, o) for t in texts for _, _, d, o in slices(pa.array([t]))]
+    # Each bucket once, with its share of the bag.
+    made = [tuple(np.unique(g, return_counts=True)) for g in made]
+    made = [(g, (n / max(n.sum(), 1)).astype(np.float32)) for g, n in made]
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     soft = np.zeros((DIM, 2), np.float32)
@@ -91,33 +82,22 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> tuple[np.ndarray
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         for k in rng.permutation(len(made)):
-            grams, owner, first = made[k]
+            grams, share = made[k]
             if not len(grams):
                 continue
-            n, y = int(first[-1]), marks[k]
-            counts = np.bincount(owner, minlength=n).astype(np.float32)
-            folded = table[grams] @ (soft[:, 1] - soft[:, 0])
-            logit = np.bincount(owner, folded, minlength=n) / np.maximum(counts, 1)
-            # The worst segment carries the row. Clean rows also learn from a random one; at first all rows
-            # learn from a few, since no segment stands out yet.
-            chosen = {int(logit.argmax())} if epoch >= WARM else set(rng.integers(n, size=4).tolist())
-            for s in chosen | ({int(rng.integers(n))} if y == 0 else set()):
-                mine = grams[owner == s]
-                if not len(mine):
-                    continue
-                bag = table[mine].mean(0)
-                z = bag @ soft + bias
-                p = np.exp(z - z.max())
-                p /= p.sum()
-                p[y] -= 1
-                step = soft @ p / len(mine)
-                soft_sq += float((p**2).sum() * (bag**2).sum())
-                soft -= rate / np.sqrt(soft_sq) * np.outer(bag, p)
-                bias -= 0.02 * rate * p
-                table_sq[mine] += float((step**2).sum())
-                np.subtract.at(table, mine, rate / np.sqrt(table_sq[mine])[:, None] * step)
+            bag = share @ table[grams]
+            z = bag @ soft + bias
+            p = np.exp(z - z.max())
+            p /= p.sum()
+            p[marks[k]] -= 1
+            step = soft @ p
+            soft_sq += float((p**2).sum() * (bag**2).sum())
+            soft -= rate / np.sqrt(soft_sq) * np.outer(bag, p)
+            bias -= 0.02 * rate * p
+            table_sq[grams] += share**2 * float((step**2).sum())
+            table[grams] -= (rate * share / np.sqrt(table_sq[grams]))[:, None] * step
     weights, shift = (table @ (soft[:, 1] - soft[:, 0])).astype(np.float64), float(bias[1] - bias[0])
-    scores = np.array([row_max(segment_logits(weights, shift, g, o, int(f[-1])), f, -9.0)[0] for g, o, f in made])
+    scores = np.array([float(share @ weights[g]) + shift if len(g) else EMPTY for g, share in made])
     return weights, shift - _cut(scores, marks)
 
 
@@ -131,10 +111,25 @@ def _cut(scores: np.ndarray, marks: np.ndarray) -> float:
     return float((lo + hi) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, most_bytes: int = SAMPLE_BYTES) -> tuple[np.ndarray, float]:
-    """Learns from rows that are not held out; the rows of lowest hash of each class, at most ``per_class``.
+def _bag_rows(docs: DataFrame) -> DataFrame:
+    """_y and grams, the bag of each row's whole text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offsets in slices(batch.column("text"), 1 << 20):
+                grams, owner = bags(data, offsets)
+                order = np.lexsort((grams, owner))
+                bounds = np.searchsorted(owner[order], np.arange(j - i + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("_y").slice(i, j - i), pa.ListArray.from_arrays(pa.array(bounds), pa.array(grams[order]))], names=["_y", "grams"])
+
+    return docs.select("_y", "text").mapInArrow(run, "_y bigint, grams array<int>")
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> tuple[np.ndarray, float]:
+    """Learns from rows that are not held out; the rows of lowest hash of each class, at most ``per_class`` of them.
 
-    A row with null text or label is not learnt from; a document labelled more than once is toxic if any label says so.
+    A row with null id, text or label is not learnt from; a document labelled more than once is toxic if any label says so. Bags are made
+    where the rows are; of a text at most ``BUCKETS`` different numbers reach the driver.
     """
     known = labels.where(F.col("toxic").isNotNull()).where(crc_mod("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("_y"))
     known = known.withColumn("_h", F.xxhash64("doc_id"))
@@ -147,26 +142,26 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, m
     if picked is None:
         return train([], [])
     # At most 2 * per_class ids: a bound of a few dozen kilobytes, so the broadcast is safe.
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id").select("doc_id", F.substring("text", 1, most_bytes).alias("text"), "_y").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return train([r["text"] for r in rows], [int(r["_y"] != 0) for r in rows])
+    rows = in_small_batches(docs).select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id").select("text", F.col("_y").cast("long").alias("_y"))
+    rows = _bag_rows(rows).collect()
+    rows.sort(key=lambda r: (r["_y"], r["grams"]))
+    return train([np.array(r["grams"], np.int32) for r in rows], [int(r["_y"] != 0) for r in rows])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """doc_id, score and predicted of every row, from its whole text. Null and empty texts get the bias alone."""
+    """doc_id, score and predicted of every row, from its whole text. Texts without words, null ones too, get the logit ``EMPTY``."""
     weights, bias = model[0].astype(np.float32), model[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in slices(batch.column("text"), 1 << 20):
-                grams, owner, first = bags(data, offsets)
-                logits = row_max(segment_logits(weights, bias, grams, owner, int(first[-1])), first, -6.0)
-                p = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
+                grams, owner = bags(data, offsets)
+                p = 1 / (1 + np.exp(-np.clip(logits(weights, bias, grams, owner, j - i), -30, 30)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return in_small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id bigint, score double, predicted int")
+    return in_small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, score double, predicted int")
 
 
 def detect(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Trains on the rows outside the held-out fifth and scores every row."""
-    return score(docs, fit(docs, labels)).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    """doc_id, held_out, score and predicted of every row, trained on the rows outside the held-out fifth. A row without id is not held out."""
+    return score(docs, fit(docs, labels)).select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -60,8 +61,6 @@ def test_rates_are_tilted_by_length(spark):
     rows = [(i, "w " * (10 + i % 50), "en", s, 0) for i in range(600) for s in ("a", "b")]
     lengths = mixing.sizes(spark.createDataFrame(rows, SCHEMA)).groupBy("source", "size").count().withColumnRenamed("count", "n")
     goals = mixing.targets(lengths.selectExpr("source", "size * n as w").groupBy("source").agg({"w": "sum"}).withColumnRenamed("sum(w)", "source_size"))
-    import math
-
     for r in mixing.solve(lengths, goals).collect():
         mine = [(x["size"], x.n) for x in lengths.collect() if x.source == r.source]
         got = sum(n * s * 3 / (1 + 2 * math.exp(-r.lam * s / r.mean)) for s, n in mine)
@@ -76,10 +75,48 @@ def test_resample(spark):
     got = {}
     for r in out.collect():
         key = (r.doc_id, r.source)
-        got[key] = got.get(key, 0) + len(r.text.split())
+        got[key] = got.get(key, 0) + 1
     for key, r in plan.items():
         if key[0] != 5:
-            assert got.get(key, 0) == r.taken
+            assert got.get(key, 0) == (int(r.taken / r.size + 0.5) if r.size else 0)
+
+
+def test_taken_one_by_one(spark):
+    """Every document's words: multipliers by bisection, copies and the cut by sorting."""
+    _, docs = documents(spark)
+    own = [r for r in mixing.sizes(docs).collect()]
+    plan = {}
+    for r in mixing.mix(docs).collect():
+        plan.setdefault((r.doc_id, r.source, r.size), []).append(r.taken)
+    goal = {r.source: r.target for r in mixing.mix(docs).collect()}
+    total = {s: sum(r["size"] for r in own if r.source == s) for s in goal}
+    for source, target in goal.items():
+        mine = [r for r in own if r.source == source]
+        if not total[source] or target >= 3 * total[source] * (1 - 1e-9):
+            for r in mine:
+                assert plan[r.doc_id, r.source, r["size"]].pop() == 3 * r["size"]
+            continue
+        mean = total[source] / sum(r["size"] > 0 for r in mine)
+        rate = lambda r, lam: 3 / (1 + 2 * math.exp(max(-700.0, min(700.0, -lam * r["size"] / mean))))  # noqa: B023, E731
+        lo, hi = -50.0, 50.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(r["size"] * rate(r, mid) for r in mine) < target else (lo, mid)
+        base = [min(math.floor(rate(r, lo)), 2) for r in mine]
+        place = [math.floor((r.unit - (rate(r, lo) - b) + 1) / 2 * 2**36) for r, b in zip(mine, base, strict=True)]
+        need = target - sum(b * r["size"] for r, b in zip(mine, base, strict=True))
+        for p in sorted(set(place)):
+            here = [k for k, x in enumerate(place) if x == p]
+            held = sum(mine[k]["size"] for k in here)
+            for k in here:
+                size = mine[k]["size"]
+                more = min(size, math.floor(size * min(1, max(0.0, need) / held) + 0.5)) if held else 0
+                taken = plan[mine[k].doc_id, source, size]
+                # The word at which a cut falls may differ by rounding of the multiplier.
+                near = min(taken, key=lambda t: abs(t - base[k] * size - more))  # noqa: B023
+                assert abs(near - base[k] * size - more) <= 1
+                taken.remove(near)
+            need -= held
 
 
 def test_empty(spark):

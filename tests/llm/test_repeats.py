@@ -8,6 +8,7 @@ import pytest
 
 from loglake.llm import substring, suffixes
 from loglake.llm.common import sliding_min
+from loglake.model import Conflict
 
 from .conftest import SCHEMA, make_docs
 
@@ -95,11 +96,39 @@ def test_sliding_min():
         assert sliding_min(x, w).tolist() == [int(x[i : i + w].min()) for i in range(len(x) - w + 1)]
 
 
-def test_index_merges_runs(spark):
-    index = substring.FingerprintIndex()
-    for k in range(3):
-        run = index.add(spark.createDataFrame([(k,), (7,), (7,)], "fp bigint"))
-        assert {r.fp for r in index.known(run).collect()} == {7}
+def test_index(spark, tmp_path):
+    """Runs survive in their folder, hits count all runs, levels are merged, and a second writer of one version fails."""
+    root = str(tmp_path / "index")
+    batch = lambda *fps: spark.createDataFrame([(f, 1, 2, k) for k, f in enumerate(fps)], "fp bigint, _d bigint, _h bigint, at int")
+    for k in range(4):
+        index = substring.FingerprintIndex(spark, root)
+        hits = index.absorb(batch(k, 7, 7, 100 if k in (0, 3) else 200 + k))
+        assert {tuple(r) for r in hits.collect()} == {(7, 2 * k + 2)} | ({(100, 2)} if k == 3 else set())
         index.compact()
-    assert {tuple(r) for r in index.counts().collect()} == {(0, 1), (1, 1), (2, 1), (7, 6)}
-    assert len(index.runs) == 1
+        assert [level for level, _ in index.state()[1]] == [[0], [1], [1, 0], [2]][k]
+    assert sorted(r.fp for r in index.places().collect()) == sorted([0, 1, 2, 3, *[7] * 8, 100, 100, 201, 202])
+    version, runs = index.state()
+    index._commit(version, runs)
+    with pytest.raises(Conflict):
+        index._commit(version, runs)
+
+
+def test_batches_over_time(spark, odd_texts, tmp_path):
+    """Each call removes what repeats in its documents or in any before them."""
+    index, seen = substring.FingerprintIndex(spark, str(tmp_path / "index")), []
+    for part in (odd_texts[::3], odd_texts[1::3], odd_texts[2::3]):
+        docs = spark.createDataFrame([(len(seen) + k, t) for k, t in enumerate(part)], "doc_id bigint, text string")
+        history = spark.createDataFrame(list(enumerate(seen)), "doc_id bigint, text string")
+        got = sorted(tuple(r) for r in substring.remove_repeats(docs, index=index, history=history, batches=1).collect())
+        assert [g[1:] for g in got] == expect_words([*part, *seen], 35)[: len(part)]
+        seen += part
+
+
+def test_long_text(spark):
+    """A text of some megabytes that repeats itself, beside short ones."""
+    rng = random.Random(9)
+    long = " ".join(str(rng.randint(0, 9)) for _ in range(400_000))
+    texts = [long + " " + long[:5000], "short", None, "a " * 300_000]
+    assert [tuple(r)[1:] for r in sorted(substring.remove_repeats(make_docs(spark, texts)).collect())] == expect_words(texts, 35)
+    texts = [long + long[:5000], "short", None, "a" * 300_000]
+    assert [tuple(r)[1:] for r in sorted(suffixes.remove_repeats(make_docs(spark, texts)).collect())] == expect_bytes(texts, 400)

@@ -1,6 +1,7 @@
 """Operators that look at one text at a time."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -9,6 +10,8 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
+from pyspark.sql import functions as F
 
 from loglake.llm import langid, media, pieces, quality, toxicity
 from loglake.llm.common import slices, split_words
@@ -52,6 +55,53 @@ def test_media(spark, odd_texts):
     assert all(media.png_decode(r.media).tobytes().rstrip(b"\0") == (r.text or "").encode() for r in stored)
 
 
+def plain_hash(payload):
+    """The feature by its definition: block means on a 32 x 32 grid, a two-dimensional cosine transform term by term, bits above the median."""
+    wide, high = 64, len(payload) // 64
+    parts = lambda n: [range(a, max(a + 1, b)) for a, b in ((min(k * n // 32, n - 1), (k + 1) * n // 32) for k in range(32))]
+    ys, xs = parts(high), parts(wide)
+    grid = [[sum(payload[64 * y + x] for y in ry for x in rx) / (len(ry) * len(rx)) for rx in xs] for ry in ys]
+    cos = [[math.cos(math.pi * (i + 0.5) * u / 32) for i in range(32)] for u in range(8)]
+    low = [round(sum(cos[u][i] * cos[v][j] * grid[i][j] for i in range(32) for j in range(32)), 6) for u in range(8) for v in range(8)]
+    middle = sorted(low[1:])[31]
+    return f"{sum((c > middle) << (63 - k) for k, c in enumerate(low)):016x}"
+
+
+def test_feature(spark):
+    rng = random.Random(11)
+    texts = ["", "a", "".join(chr(rng.randint(32, 126)) for _ in range(300)), word_text(rng, 1500), "\x01\x7f" * 2000, "é" * 777]
+    got = {r.doc_id: r.feature for r in media.describe(make_docs(spark, texts)).collect()}
+    for k, t in enumerate(texts):
+        own = t.encode()
+        want = plain_hash(own.ljust(max(64, -(-len(own) // 64) * 64), b"\0"))
+        # A coefficient may lie within rounding of the median.
+        assert (int(want, 16) ^ int(got[k], 16)).bit_count() <= 1, t[:20]
+
+
+def test_columns_of_any_name(spark):
+    """Nulls in every column, signs and the operators' own names in column names, repeated rows and a long text."""
+    long = word_text(random.Random(12), 60_000)
+    rows = [(1, "one two", None, 7, 8), (1, "one two", None, 7, 8), (None, None, "x", None, None), (2, "", "y", 0, 0), (3, long, "z", 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, `a b, c:d` string, score int, media int")
+    kept = media.to_media(docs).collect()
+    assert [(r.doc_id, r["a b, c:d"]) for r in kept] == [(r[0], r[2]) for r in rows]
+    assert all(media.png_decode(r.media).tobytes().rstrip(b"\0") == (r.text or "").encode() for r in kept)
+    named = docs.withColumnRenamed("media", "lang").withColumn("lang", F.lit(None).cast("string"))
+    assert {r.lang_pred for r in langid.identify(named).collect()} == {"und"} and langid.keep_known(named).columns == named.columns
+    marks = spark.createDataFrame([(1, 0, 1), (2, 0, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    assert [r.held_out for r in toxicity.detect(docs, marks).collect()] == [d is not None and HELD(d, 5) == 0 for d, *_ in rows]
+    assert quality.judge(docs).count() == media.describe(docs).count() == 5
+
+
+def test_long_repetitive_text(spark):
+    """Memory follows the length: the same word a hundred thousand times, and a megabyte of one line again and again."""
+    line = " ".join(f"w{k}" for k in range(40))
+    texts = ["word " * 100_000, (line + "\n") * 6000, " ".join(f"v{k}" for k in range(150_000))]
+    got = sorted(tuple(r)[1:] for r in quality.judge(make_docs(spark, texts)).collect())
+    assert [(r[0], r[4], r[5], r[6]) for r in got] == [(100_000, 100_000, 100_000, 99_999), (150_000, 0, 0, 0), (240_000, 240_000, 240_000, 239_960)]
+    assert quality.maximal_repeats("a b c x a b c y b c", 2) == [(3, 2, "a b c"), (2, 3, "b c")]
+
+
 def test_png_filters():
     rng = np.random.default_rng(3)
     pixels = rng.integers(0, 256, (25, 17)).astype(np.uint8)
@@ -159,9 +209,48 @@ def test_language(spark):
     assert langid.identify(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_language_by_plain_compression(spark):
+    """Every prediction against sizes from one-shot compression with fresh dictionaries, block by block."""
+    rows, docs = language_docs(spark, 120)
+    model = langid.fit(docs.where("doc_id % 4 = 1"))
+    params = zstandard.ZstdCompressionParameters(write_content_size=False, write_checksum=False, write_dict_id=False, **langid.ENCODER)
+    for r in langid.predict(docs, model).collect():
+        if not r.text or not re.search("[^\\W\\d_]", r.text):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        data, sizes = r.text.lower().encode(), {}
+        for lang in sorted(model):
+            own = zstandard.ZstdCompressionDict(model[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            sizes[lang] = sum(max(len(zstandard.ZstdCompressor(dict_data=own, compression_params=params).compress(data[i : i + 2048])), 1) - 6 for i in range(0, len(data), 2048))
+        first, second = sorted(sizes.items(), key=lambda x: (x[1], x[0]))[:2]
+        gap = (second[1] - first[1]) / second[1]
+        assert r.lang_pred == first[0] and r.score == pytest.approx(gap) and r.rejected == (gap < 0.002)
+
+
 # ---------------------------------------------------------------- toxicity
 
 
+def test_bags_by_definition():
+    """The logit of each text from its distinct words, gram by gram."""
+    rng = np.random.default_rng(1)
+    weights = rng.normal(size=toxicity.BUCKETS)
+    texts = ["Some words, some WORDS and some moré", "", "a", " x yz x\n", "long " * 50 + "other", "\t"]
+    for _, _, data, offsets in slices(pa.array(texts)):
+        grams, owner = toxicity.bags(data, offsets)
+        got = toxicity.logits(weights, 0.25, grams, owner, len(texts))
+    for t, g in zip(texts, got, strict=True):
+        total = []
+        for w in {w.encode().translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))) for w in WORD.findall(t)}:
+            for n, h in zip(toxicity.NGRAMS, toxicity._HASH, strict=True):
+                padded = np.frombuffer(b" " + w + b" ", np.uint8)
+                for i in range(len(padded) - n + 1):
+                    part = padded[i : i + n]
+                    total.append(weights[int(h.spans(h.prefix(part), np.array([0]), np.array([n]))[0]) % toxicity.BUCKETS])
+        assert g == pytest.approx(np.mean(total) + 0.25 if total else toxicity.EMPTY)
+
+
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     insults, rows, labels = ["worthless", "moron", "disgusting", "pathetic"], [], []
