@@ -17,6 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Workers share an executor's memory with its JVM: what Arrow frees goes back to the system.
+pa.set_memory_pool(pa.system_memory_pool())
+
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 

@@ -116,6 +116,5 @@ def keep_known(docs: DataFrame) -> DataFrame:
     Columns may have any names; they travel numbered beside the text.
     """
     model = fit(docs.where(~_held_out()))
-    names = [f"c{k}" for k in range(len(docs.columns))]
-    rows = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index("text")]))
-    return predict(rows, model).where((F.col("lang_pred") != UNKNOWN) & ~F.col("rejected")).select(*names).toDF(*docs.columns)
+    names = [c if c == "text" else f"c{k}" for k, c in enumerate(docs.columns)]
+    return predict(docs.toDF(*names), model).where((F.col("lang_pred") != UNKNOWN) & ~F.col("rejected")).select(*names).toDF(*docs.columns)
