@@ -80,10 +80,11 @@ def _tested(pairs: DataFrame, items: DataFrame, plausible: Callable[[str, str],
     return pairs.join(_side(items, "a", "l_"), "a").join(_side(items, "b", "r_"), "b").where(plausible("l_", "r_")).select("a", "b")
 
 
-def _across(rows: DataFrame, items: DataFrame, plausible: Callable[[str, str], Column]) -> DataFrame:
+def _across(rows: DataFrame, items: DataFrame, plausible: Callable[[str, str], Column], home: Callable[[str, str], Column] | None = None) -> DataFrame:
     """Pairs of different groups in a bucket: each item outside the main group against all others, once.
 
-    A pair that shares several buckets is made in the one of its first common key, or without ``keys`` in each.
+    A pair that shares several buckets is made in the one of its first common key (by ``keys``, or where ``home`` holds), or in each. As all of them
+    hold two groups, all are looked at.
     """
     pieces = F.ceil(F.sqrt(F.col("work") / F.lit(MOST_WORK))).cast("int")
     rows = rows.withColumns({"_all": F.sequence(F.lit(0), pieces - 1), "_own": F.pmod(F.xxhash64("node"), pieces).cast("int")}).join(items, "node")
@@ -94,17 +95,17 @@ def _across(rows: DataFrame, items: DataFrame, plausible: Callable[[str, str], C
     right = right.withColumnsRenamed({c: "_r" + c for c in ("key", "_p", "_q")})
     cell = (F.col("key") == F.col("_rkey")) & (F.col("_p") == F.col("_r_p")) & (F.col("_q") == F.col("_r_q"))
     once = (F.col("xc") == F.col("main")) | (F.col("x") < F.col("y"))
-    here = F.array_position(F.zip_with("l_keys", "r_keys", lambda a, b: a == b), True) == F.col("i") + 1 if which else F.lit(True)
+    here = F.array_position(F.zip_with("l_keys", "r_keys", lambda a, b: a == b), True) == F.col("i") + 1 if which else home("l_", "r_") if home else F.lit(True)
     met = left.join(right, cell & (F.col("xc") != F.col("yc")) & once & plausible("l_", "r_") & here)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def grouped(rows: list[DataFrame], items: DataFrame, plausible: Callable[[str, str], Column], texts: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+def grouped(rows: list[DataFrame], items: DataFrame, plausible: Callable[[str, str], Column], texts: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], home: Callable[[str, str], Column] | None = None) -> DataFrame:
     """node, comp of every linked item, as ``components(link(...))``, for items whose texts are dear: those are read once.
 
     ``rows`` (key, node, weight, in parts that are dealt one after the other) name the buckets, ``items`` has node and what
     ``plausible`` reads. Of each bucket the item of most weight leads. ``texts`` gets the items of plausible pairs (node), ``verify``
-    the texts and pairs (a, b). Groups are first formed on trust, from the plausible pairs with leaders, and pairs between such groups are
+    the texts and pairs (a, b); ``home`` tells whether ``key`` is the one of several common keys in which a pair is to be made. Groups are first formed on trust, from the plausible pairs with leaders, and pairs between such groups are
     made. So every item of a plausible pair is known before any text is read: a pair within a group has both sides in a pair with
     a leader. Verified pairs then form the groups that hold, and pairs between those are made last.
     """
@@ -126,14 +127,14 @@ def grouped(rows: list[DataFrame], items: DataFrame, plausible: Callable[[str, s
     many = written(led.where("m > 2").select("key", "node"), "many")
     drop_written(led)
     trusted = components(star)
-    far = _between(many, trusted, items, plausible)
+    far = _between(many, trusted, items, plausible, home, len(rows))
     drop_written(trusted)
     pairs = star.union(far).distinct()
     read = texts(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
     links = written(verify(read, pairs), "edges")
     labels = components(links)
-    late = _between(many, labels, items, plausible).join(pairs, ["a", "b"], "left_anti")
-    more = written(verify(read, late), "edges")
+    late = _between(many, labels, items, plausible, home, len(rows))
+    more = written(verify(read, late.join(pairs, ["a", "b"], "left_anti")), "edges")
     if not more.isEmpty():
         # The groups so far are stars of their own, which say the same as the links and settle at once.
         old, labels = labels, components(labels.select(F.col("comp").alias("a"), F.col("node").alias("b")).union(more))
@@ -143,14 +144,19 @@ def grouped(rows: list[DataFrame], items: DataFrame, plausible: Callable[[str, s
     return labels
 
 
-def _between(rows: DataFrame, labels: DataFrame, items: DataFrame, plausible: Callable[[str, str], Column]) -> DataFrame:
-    """Plausible pairs (a, b) of different groups that share a bucket of ``rows`` (key, node)."""
+def _between(rows: DataFrame, labels: DataFrame, items: DataFrame, plausible: Callable[[str, str], Column], home: Callable[[str, str], Column] | None, parts: int) -> DataFrame:
+    """Plausible pairs (a, b) of different groups that share a bucket of ``rows`` (key, node), the buckets in so many parts one after the other."""
     named = written(rows.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")), "named")
     mixed = _mixed(named)
-    out = written(_across(named.join(mixed, "key"), items, plausible).distinct(), "crossed")
+    out = None
+    for p in range(parts):
+        here = named.where(F.pmod("key", F.lit(parts)) == p).join(mixed, "key")
+        part = written(_across(here, items, plausible, home).distinct(), "crossed")
+        release(items.sparkSession)
+        out = part if out is None else out.union(part)
     drop_written(named)
     drop_written(mixed)
-    return out
+    return out.distinct()
 
 
 def _mixed(named: DataFrame) -> DataFrame:
