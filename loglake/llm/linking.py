@@ -103,7 +103,7 @@ def _across(rows: DataFrame, items: DataFrame, plausible: Callable[[str, str], C
 def grouped(rows: list[DataFrame], items: DataFrame, plausible: Callable[[str, str], Column], texts: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], home: Callable[[str, str], Column] | None = None) -> DataFrame:
     """node, comp of every linked item, as ``components(link(...))``, for items whose texts are dear: those are read once.
 
-    ``rows`` (key, node, weight, in parts that are dealt one after the other) name the buckets, ``items`` has node and what
+    ``rows`` (key, with what tells parts of a signature apart in its high 32 bits; node; weight; in parts that are dealt one after the other) name the buckets, ``items`` has node and what
     ``plausible`` reads. Of each bucket the item of most weight leads. ``texts`` gets the items of plausible pairs (node), ``verify``
     the texts and pairs (a, b); ``home`` tells whether ``key`` is the one of several common keys in which a pair is to be made. Groups are first formed on trust, from the plausible pairs with leaders, and pairs between such groups are
     made. So every item of a plausible pair is known before any text is read: a pair within a group has both sides in a pair with
@@ -127,36 +127,33 @@ def grouped(rows: list[DataFrame], items: DataFrame, plausible: Callable[[str, s
     many = written(led.where("m > 2").select("key", "node"), "many")
     drop_written(led)
     trusted = components(star)
-    far = _between(many, trusted, items, plausible, home, len(rows))
-    drop_written(trusted)
+    far = _between(many, trusted, items, plausible, home)
     pairs = star.union(far).distinct()
     read = texts(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
     links = written(verify(read, pairs), "edges")
     labels = components(links)
-    late = _between(many, labels, items, plausible, home, len(rows))
+    # Pairs of different groups on trust are done; within one, a bucket is the part of it in that group.
+    trust = trusted.select("node", F.col("comp").alias("trust"))
+    within = many.join(trust, "node").select(F.shiftleft(F.shiftrightunsigned("key", 32), 32).bitwiseOR(F.xxhash64("key", "trust").bitwiseAND(0xFFFFFFFF)).alias("key"), "node")
+    late = _between(within, labels, items, plausible, home)
     more = written(verify(read, late.join(pairs, ["a", "b"], "left_anti")), "edges")
     if not more.isEmpty():
         # The groups so far are stars of their own, which say the same as the links and settle at once.
         old, labels = labels, components(labels.select(F.col("comp").alias("a"), F.col("node").alias("b")).union(more))
         drop_written(old)
-    for table in (star, far, many, read, links, late, more):
+    for table in (star, far, many, trusted, read, links, late, more):
         drop_written(table)
     return labels
 
 
-def _between(rows: DataFrame, labels: DataFrame, items: DataFrame, plausible: Callable[[str, str], Column], home: Callable[[str, str], Column] | None, parts: int) -> DataFrame:
-    """Plausible pairs (a, b) of different groups that share a bucket of ``rows`` (key, node), the buckets in so many parts one after the other."""
+def _between(rows: DataFrame, labels: DataFrame, items: DataFrame, plausible: Callable[[str, str], Column], home: Callable[[str, str], Column] | None) -> DataFrame:
+    """Plausible pairs (a, b) of different groups that share a bucket of ``rows`` (key, node)."""
     named = written(rows.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")), "named")
     mixed = _mixed(named)
-    out = None
-    for p in range(parts):
-        here = named.where(F.pmod("key", F.lit(parts)) == p).join(mixed, "key")
-        part = written(_across(here, items, plausible, home).distinct(), "crossed")
-        release(items.sparkSession)
-        out = part if out is None else out.union(part)
+    out = written(_across(named.join(mixed, "key"), items, plausible, home).distinct(), "crossed")
     drop_written(named)
     drop_written(mixed)
-    return out.distinct()
+    return out
 
 
 def _mixed(named: DataFrame) -> DataFrame:
