@@ -2,7 +2,8 @@
 
 Version n is one small object, created exclusively, that names the manifest parts it consists of; a part is a
 Parquet folder of file rows, with the files' trigram sets beside it, or of paths taken away. A commit adds
-a part, so its cost follows the change, not the table; parts are merged when there are many. A writer that finds its
+a part, so its cost follows the change, not the table; parts are merged when there are many. The names of all batches are kept, those
+of late in the version and older ones in a ledger beside it, so that a batch counts once even after its files were merged. A writer that finds its
 version taken reloads and tries again.
 """
 
@@ -22,6 +23,7 @@ from .files import Store
 ATTEMPTS, MOST_PARTS = 16, 24
 TRIGRAMS = T.StructType([T.StructField("path", T.StringType()), T.StructField("row_group", T.IntegerType()), T.StructField("trigrams", T.ArrayType(T.IntegerType()))])
 PATHS = T.StructType([T.StructField("path", T.StringType())])
+BATCHES = T.StructType([T.StructField("batch", T.StringType())])
 
 
 class Catalog:
@@ -38,7 +40,7 @@ class Catalog:
         """A version's document, the newest by default; a table without one is empty."""
         known = self.versions()
         if version is None and not known:
-            return {"version": 0, "added": [], "dropped": [], "compaction_gen": 0}
+            return {"version": 0, "added": [], "dropped": [], "compaction_gen": 0, "batches": [], "ledger": None}
         chosen = known[-1] if version is None else version
         data = self.store.read(f"{self.home}/v{chosen:012d}.json")
         if data is None:
@@ -89,25 +91,32 @@ class Catalog:
         head = self.head(version)
         return self._read([n.replace("files-", "grams-") for n in head["added"]], TRIGRAMS).join(self.files(version).select("path"), "path", "left_semi")
 
-    def has(self, paths: list[str]) -> set[str]:
-        """Which of a few paths the table ever had."""
-        found = self._read(self.head()["added"], FILE_SCHEMA).where(F.col("path").isin(paths)).select("path").collect() if paths else []
-        return {r["path"] for r in found}
+    def has(self, batch: str, head: dict | None = None) -> bool:
+        """Whether a batch was ever committed, whatever became of its files since."""
+        head = self.head() if head is None else head
+        if batch in head.get("batches", []):
+            return True
+        return bool(head.get("ledger")) and not self._read([head["ledger"]], BATCHES).where(F.col("batch") == batch).isEmpty()
 
-    def append(self, files: DataFrame, grams: DataFrame) -> dict:
-        """Adds file rows; text sets are written before the version that names them."""
+    def append(self, files: DataFrame, grams: DataFrame, batch: str) -> bool:
+        """Adds a batch's file rows, unless a version has the batch: of several senders one adds it. Text sets are written before
+        the version that names them."""
         name = self._part(files.select(*FILE_SCHEMA.names), "files")
         grams.select(*TRIGRAMS.names).coalesce(1).write.parquet(self.store.full(f"{self.home}/{name.replace('files-', 'grams-')}"))
-        return self.commit(lambda h: {**h, "added": [*h["added"], name]})
+        done = self.commit(lambda h: None if self.has(batch, h) else {**h, "added": [*h["added"], name], "batches": [*h.get("batches", []), batch]})
+        return name in done["added"]
 
     def replace(self, files: DataFrame, grams: DataFrame, gone: list[str]) -> dict:
-        """Compaction's commit: files in, paths out, next generation. Fails if a path is no longer live."""
+        """Compaction's commit: files in, paths out, next generation. Fails unless every path is live in the version it follows."""
         name = self._part(files.select(*FILE_SCHEMA.names), "files")
         grams.select(*TRIGRAMS.names).coalesce(1).write.parquet(self.store.full(f"{self.home}/{name.replace('files-', 'grams-')}"))
         drop = self._part(self.spark.createDataFrame([(p,) for p in gone], PATHS), "drops")
 
         def change(h: dict) -> dict:
-            if h["dropped"] and self._read(h["dropped"], PATHS).where(F.col("path").isin(gone)).limit(1).count():
+            live = self._read(h["added"], FILE_SCHEMA).where(F.col("path").isin(gone)).select("path").distinct()
+            if h["dropped"]:
+                live = live.join(self._read(h["dropped"], PATHS), "path", "left_anti")
+            if live.count() < len(set(gone)):
                 raise Conflict(f"{self.table}: another compaction took some of these files")
             return {**h, "added": [*h["added"], name], "dropped": [*h["dropped"], drop], "compaction_gen": h["compaction_gen"] + 1}
 
@@ -121,7 +130,12 @@ class Catalog:
         name = f"files-{uuid.uuid4().hex}"
         self.files().write.parquet(self.store.full(f"{self.home}/{name}"))
         self.row_groups().write.parquet(self.store.full(f"{self.home}/{name.replace('files-', 'grams-')}"))
-        return self.commit(lambda h: {**h, "added": [name], "dropped": []} if h["version"] == head["version"] else None)
+        known = self.spark.createDataFrame([(b,) for b in head.get("batches", [])], BATCHES)
+        if head.get("ledger"):
+            known = known.union(self._read([head["ledger"]], BATCHES))
+        ledger = f"batches-{uuid.uuid4().hex}"
+        known.write.parquet(self.store.full(f"{self.home}/{ledger}"))
+        return self.commit(lambda h: {**h, "added": [name], "dropped": [], "batches": [], "ledger": ledger} if h["version"] == head["version"] else None)
 
 
 def totals(files: DataFrame) -> DataFrame:

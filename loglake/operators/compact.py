@@ -82,7 +82,7 @@ class Compactor:
         name = hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:32]
         config = self.ingestor.config
         whole = replace(config, ingest=replace(config.ingest, roll_rows=0))
-        files, grams = Ingestor(store, self.ingestor.table, whole).write(rows.coalesce(1).sortWithinPartitions("ts"), name)
+        files, grams = Ingestor(store, self.ingestor.table, whole).write(rows.coalesce(1).sortWithinPartitions("ts"), name, f"c{self.catalog.head()['compaction_gen'] + 1:06d}")
         self.catalog.replace(files, grams, paths)
 
     def maybe_compact(self) -> list[Compacted]:

@@ -67,27 +67,33 @@ class Ingestor:
         if not mark["n"]:
             return Report(0, 0, 0)
         batch = f"{(int(mark['a']) ^ int(mark['n'])) & (2**64 - 1):016x}{mark['b'] & (2**64 - 1):016x}"
-        first = [self._name(tier, batch, 0) for tier in TIERS]
-        if self.catalog.has(first):
+        if self.catalog.has(batch):
             return Report(mark["n"], 0, 0, deduped=True)
         tiered = logs.withColumn("tier", tier_of(F.col("level"), self.config.routing))
-        files, grams = self.write(tiered.repartition("tier", F.floor(ts_millis(F.col("ts")) / 3_600_000)).sortWithinPartitions("tier", "ts"), batch)
-        self.catalog.append(files, grams)
+        # An hour of a tier may be most of a batch: it is dealt to as many tasks as it has files' worth of rows.
+        pieces = max(1, mark["n"] // max(1, self.config.ingest.roll_rows))
+        salt = F.pmod(F.xxhash64(*LOG_COLUMNS), F.lit(pieces))
+        files, grams = self.write(tiered.repartition("tier", F.floor(ts_millis(F.col("ts")) / 3_600_000), salt).sortWithinPartitions("tier", "ts"), batch)
+        if not self.catalog.append(files, grams, batch):
+            return Report(mark["n"], 0, 0, deduped=True)
         done = files.agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b")).first()
         self.catalog.tidy()
         return Report(mark["n"], done["n"], done["b"])
 
-    def _name(self, tier: str, batch: str, k: int) -> str:
-        return f"{self.table}/{tier}/part-{batch}-{k:05d}.parquet"
+    def _name(self, tier: str, batch: str, k: int, kind: str = "part") -> str:
+        return f"{self.table}/{tier}/{kind}-{batch}-{k:05d}.parquet"
+
+    def write(self, tiered: DataFrame, batch: str, kind: str = "part") -> tuple[DataFrame, DataFrame]:
+        """Writes rows with a tier to their places; returns the manifest rows and trigram rows of the new files.
 
-    def write(self, tiered: DataFrame, batch: str) -> tuple[DataFrame, DataFrame]:
-        """Writes rows with a tier to their places; returns the manifest rows and trigram rows of the new files."""
+        ``kind`` begins the files' names: ``part`` as ingested, ``c`` and a generation as merged.
+        """
         staging = f"{self.table}/_staging/{uuid.uuid4().hex}"
         tiered.write.options(**write_options(self.config)).partitionBy("tier").parquet(self.store.full(staging))
         rows, spark = [], self.store.spark
         for tier in TIERS:
             written = [(n, size) for n, size in self.store.list(f"{staging}/tier={tier}") if n.endswith(".parquet")]
-            rows += [(f"tier={tier}/{n}", self._name(tier, batch, k), size, tier) for k, (n, size) in enumerate(written)]
+            rows += [(f"tier={tier}/{n}", self._name(tier, batch, k, kind), size, tier) for k, (n, size) in enumerate(written)]
         placed = spark.createDataFrame(rows, "name string, path string, bytes long, tier string")
         read = spark.read.parquet(self.store.full(staging))
         stats, sets = file_stats(read, self.config.ingest.row_group_rows)

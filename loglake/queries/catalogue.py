@@ -50,7 +50,7 @@ _on_files("manifest_totals", totals, "SELECT count(*) AS files, CAST(sum(bytes)
 _on_files("select_files_tier", lambda f: select_files(f, ["hot", "nonsense"]).select("path"), "SELECT path FROM files WHERE tier = 'hot'")
 _on_files("select_files_window", lambda f: select_files(f, None, (_DAY, _DAY + 86_400_000)).select("path"), f"SELECT path FROM files WHERE max_ts >= {_DAY} AND min_ts <= {_DAY + 86_400_000}")
 _on_files("select_files_level", lambda f: select_files(f, None, None, [Fact("level", "WARN")]).select("path"), "SELECT path FROM files WHERE list_contains(levels, 'WARN')")
-_on_files("select_files_service", lambda f: select_files(f, ["warm"], None, [Fact("service", "auth"), Fact("service", "none-such")]).select("path"), "SELECT path FROM files WHERE tier = 'warm' AND list_contains(services, 'auth') AND list_contains(services, 'none-such')")
+_on_files("select_files_service", lambda f: select_files(f, ["warm"], None, [Fact("service", "auth"), Fact("service", "billing")]).select("path"), "SELECT path FROM files WHERE tier = 'warm' AND list_contains(services, 'auth') AND list_contains(services, 'billing')")
 _on_files("estimate_per_tier", lambda f: priced(select_files(f, None, (_DAY, None))).select("tier", "files", "bytes", F.round("usd", 12).alias("usd"), "restore_ms"), f"SELECT tier, count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes, round(sum(bytes) / 1073741824.0 * CASE tier WHEN 'hot' THEN 0 WHEN 'warm' THEN 0.03 ELSE 0.01 END, 12) AS usd, CAST(CASE tier WHEN 'cold' THEN 14400000 ELSE 0 END AS BIGINT) AS restore_ms FROM files WHERE max_ts >= {_DAY} GROUP BY tier")
 _on_files("storage_page", lambda f: insights.storage_page(f).select("tier", "bytes", "objects", "small_files", "compacted_files", F.round("pct", 9).alias("pct"), F.round("usd_month", 12).alias("usd_month")), "SELECT tier, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS objects, count(*) AS small_files, CAST(0 AS BIGINT) AS compacted_files, round(sum(bytes) / sum(sum(bytes)) OVER () * 100.0, 9) AS pct, round(sum(bytes) / 1073741824.0 * CASE tier WHEN 'hot' THEN 0.023 WHEN 'warm' THEN 0.004 ELSE 0.0036 END, 12) AS usd_month FROM files GROUP BY tier")
 _on_files("cost_projection", lambda f: insights.storage_page(f).agg(F.round(F.sum("usd_month"), 12).alias("month"), F.round(F.sum("usd_month") * 90 / 30, 12).alias("projected")), "SELECT round(sum(usd), 12) AS month, round(sum(usd) * 3, 12) AS projected FROM (SELECT bytes / 1073741824.0 * CASE tier WHEN 'hot' THEN 0.023 WHEN 'warm' THEN 0.004 ELSE 0.0036 END AS usd FROM files)")

@@ -14,7 +14,9 @@ from ..api import LogLake
 from ..config import Compaction, Config, Ingest
 from ..config import Query as Limits
 from ..model import ResultTooLarge
+from ..operators.insights import storage_page
 from ..sources.tables import NOW_MS, event_logs, logs_cte
+from ..streaming.feeds import tail
 from .search import COLUMNS, Query
 
 QUERIES: dict[str, Query] = {}
@@ -62,6 +64,47 @@ QUERIES["lake_compacted"] = (
 )
 
 
+def _resent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches are sent again after their files were merged and the manifest tidied; each row counts once."""
+    lake = filled(spark, sf_dir, 2)
+    lake.compactor.maybe_compact()
+    lake.catalog.tidy(most=1)
+    logs = event_logs(spark, sf_dir)
+    again = [lake.ingest(logs.where(F.pmod("event_id", F.lit(2)) == k)).deduped for k in range(2)]
+    return lake.frame("SELECT service, count(*) AS n FROM logs GROUP BY service").withColumn("deduped", F.lit(all(again)))
+
+
+QUERIES["lake_resend"] = (_resent, f"{logs_cte()} SELECT service, count(*) AS n, TRUE AS deduped FROM logs GROUP BY service")
+
+
+def _tailed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tail that goes on after a compaction: merged rows do not come again."""
+    lake = filled(spark, sf_dir, 2)
+    place, name = f"{folder(spark)}/tail", f"tail_{uuid.uuid4().hex}"
+
+    def drain() -> None:
+        rows = tail(spark, lake.store.full(lake.table), 0)
+        rows.writeStream.format("parquet").option("path", f"{place}/{name}").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+
+    drain()
+    lake.compactor.maybe_compact()
+    drain()
+    return spark.read.parquet(f"{place}/{name}").groupBy("service").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES["lake_tail_after_compaction"] = (_tailed, f"{logs_cte()} SELECT service, count(*) AS n FROM logs GROUP BY service")
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of each tier after a compaction into one file: none small, one merged."""
+    lake = filled(spark, sf_dir, 3)
+    lake.compactor.maybe_compact()
+    return storage_page(lake.catalog.files()).select("tier", "objects", "small_files", "compacted_files")
+
+
+QUERIES["lake_storage_page"] = (_stored, f"{logs_cte()} SELECT DISTINCT tier, CAST(1 AS BIGINT) AS objects, CAST(0 AS BIGINT) AS small_files, CAST(1 AS BIGINT) AS compacted_files FROM logs")
+
+
 def _pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     lake = filled(spark, sf_dir, 3)
     return spark.createDataFrame(sorted(lake.compactor.pending().items()), "tier string, files long")

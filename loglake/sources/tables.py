@@ -9,10 +9,10 @@ from .generate import SERVICES
 
 #: Templates by level; a row takes the one at event_id modulo their number.
 TEMPLATES = {
-    "ERROR": ("connection timeout to db-primary", "NullPointerException at AuthFilter.java:42", "payment declined by gateway"),
-    "WARN": ("slow query took long", "retrying request to inventory"),
-    "DEBUG": ("cache miss for session", "decoded frame"),
-    "INFO": ("request completed", "user logged in", "heartbeat ok", "cache warmed"),
+    "ERROR": ("timeout while writing to replica", "invalid token in header of request", "payment refused after third attempt"),
+    "WARN": ("query ran for longer than planned", "second attempt to reach inventory"),
+    "DEBUG": ("session absent from cache", "frame decoded"),
+    "INFO": ("request completed", "user signed in", "heartbeat", "index loaded"),
 }
 #: Clock of queries that look back over these tables: 2024-01-31T00:00:00Z.
 NOW_MS = 1_706_659_200_000

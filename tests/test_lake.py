@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loglake.api import LogLake
 from loglake.config import Compaction, Config, Ingest, Query, from_dict, load
-from loglake.model import LOG_COLUMNS, BadQuery, BadRequest, Forbidden, ResultTooLarge
+from loglake.model import LOG_COLUMNS, BadQuery, BadRequest, Conflict, Forbidden, ResultTooLarge
 from loglake.operators import alerts, lifecycle, simstore
 from loglake.operators.compact import bins
 from loglake.operators.engine import single_value
@@ -110,6 +110,60 @@ def test_same_batch_counts_once(spark, tmp_path):
     assert lake.engine.scan(r.path for r in lake.catalog.files().collect()).count() == 60
 
 
+def test_batch_counts_once_after_merging(spark, tmp_path):
+    config = replace(Config(), compaction=Compaction(trigger_files=2, target_bytes=10 << 20))
+    lake = LogLake(spark, str(tmp_path), config=config)
+    batches = [generate.generate(spark, 60, seed, BASE + seed * 1_000_000) for seed in range(2)]
+    for b in batches:
+        assert not lake.ingest(b).deduped
+    lake.compactor.maybe_compact()
+    lake.catalog.tidy(most=0)
+    assert [lake.ingest(b).deduped for b in batches] == [True, True]
+    assert lake.frame("").count() == 120
+
+
+def test_one_batch_from_two_senders(spark, tmp_path):
+    """Both pass the first look; the commit lets one of them in."""
+    lakes = [LogLake(spark, str(tmp_path)) for _ in range(2)]
+    for lk in lakes:
+        lk.catalog.has = lambda batch, head=None, real=lk.catalog.has: head is not None and real(batch, head)
+    assert [lk.ingest(seeded(spark)).deduped for lk in lakes] == [False, True]
+    assert lakes[0].engine.scan(r.path for r in lakes[0].catalog.files().collect()).count() == 60
+
+
+def test_late_compaction_is_refused(spark, tmp_path):
+    """A plan made before another compaction, and before the manifest was tidied, must not add its copies."""
+    config = replace(Config(), compaction=Compaction(trigger_files=2, target_bytes=10 << 20))
+    lake = LogLake(spark, str(tmp_path), config=config)
+    for seed in range(2):
+        lake.ingest(generate.generate(spark, 60, seed, BASE + seed * 1_000_000))
+    plan = {tier: [[r["path"] for r in b] for b in made] for tier, made in lake.compactor._plan(10 << 20).items() if made}
+    lake.compactor.maybe_compact()
+    lake.catalog.tidy(most=0)
+    for tier, made in plan.items():
+        with pytest.raises(Conflict):
+            lake.compactor._merge(tier, made[0])
+    assert lake.frame("").count() == 120
+
+
+def test_slow_alert_writer(spark, tmp_path):
+    """A writer whose base version has long been deleted starts over instead of being ignored."""
+    from loglake.operators import alerts
+
+    rules = LogLake(spark, str(tmp_path)).rules
+    rule = lambda k: alerts.Rule(f"r{k}", "SELECT 1 AS v", "gt", 0.0)
+    for k in range(3):
+        rules._change(lambda known, k=k: [*known, rule(k)])
+    stale, fresh = rules._latest(), rules._latest
+    for k in range(3, alerts.KEPT + 8):
+        rules._change(lambda known, k=k: [*known, rule(k)])
+    seen = iter([stale])
+    rules._latest = lambda: next(seen, None) or fresh()
+    rules._change(lambda known: [*known, rule(99)])
+    names = [r.name for r in LogLake(spark, str(tmp_path)).rules.rules()]
+    assert names == [*(f"r{k}" for k in range(alerts.KEPT + 8)), "r99"]
+
+
 def test_concurrent_writers(spark, tmp_path):
     lakes = [LogLake(spark, str(tmp_path)) for _ in range(2)]
     jobs = [threading.Thread(target=lk.ingest, args=(generate.generate(spark, 200, seed),)) for seed, lk in enumerate(lakes)]
