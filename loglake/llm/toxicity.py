@@ -112,24 +112,26 @@ def _cut(scores: np.ndarray, marks: np.ndarray) -> float:
 
 
 def _bag_rows(docs: DataFrame) -> DataFrame:
-    """_y and grams, the bag of each row's whole text."""
+    """_y and grams, the bag of each row's whole text as 32-bit numbers in order: a few kilobytes, never lists of Python numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in slices(batch.column("text"), 1 << 20):
                 grams, owner = bags(data, offsets)
                 order = np.lexsort((grams, owner))
-                bounds = np.searchsorted(owner[order], np.arange(j - i + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("_y").slice(i, j - i), pa.ListArray.from_arrays(pa.array(bounds), pa.array(grams[order]))], names=["_y", "grams"])
+                bounds = np.searchsorted(owner[order], np.arange(j - i + 1))
+                grams = grams[order]
+                own = [grams[a:b].astype("<i4").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("_y").slice(i, j - i), pa.array(own, pa.binary())], names=["_y", "grams"])
 
-    return docs.select("_y", "text").mapInArrow(run, "_y bigint, grams array<int>")
+    return docs.select("_y", "text").mapInArrow(run, "_y bigint, grams binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> tuple[np.ndarray, float]:
     """Learns from rows that are not held out; the rows of lowest hash of each class, at most ``per_class`` of them.
 
     A row with null id, text or label is not learnt from; a document labelled more than once is toxic if any label says so. Bags are made
-    where the rows are; of a text at most ``BUCKETS`` different numbers reach the driver.
+    where the rows are; of a text, the numbers of its distinct words' n-grams reach the driver.
     """
     known = labels.where(F.col("toxic").isNotNull()).where(crc_mod("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("_y"))
     known = known.withColumn("_h", F.xxhash64("doc_id"))
@@ -144,8 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     # At most 2 * per_class ids: a bound of a few dozen kilobytes, so the broadcast is safe.
     rows = in_small_batches(docs).select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id").select("text", F.col("_y").cast("long").alias("_y"))
     rows = _bag_rows(rows).collect()
-    rows.sort(key=lambda r: (r["_y"], r["grams"]))
-    return train([np.array(r["grams"], np.int32) for r in rows], [int(r["_y"] != 0) for r in rows])
+    rows.sort(key=lambda r: (r["_y"], bytes(r["grams"])))
+    return train([np.frombuffer(r["grams"], "<i4") for r in rows], [int(r["_y"] != 0) for r in rows])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
