@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterable
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .config import Config
+from .functions.words import host, humanize, number
 from .model import BadRequest
 from .operators import insights
 from .operators.access import Tokens
-from .operators.alerts import Alerts, Rule, runner
+from .operators.alerts import Alerts, Rule, post, runner
 from .operators.audit import Audit
 from .operators.catalog import Catalog, totals
 from .operators.compact import Compacted, Compactor, span
@@ -85,7 +87,7 @@ class LogLake:
         return self.engine.estimate(query, self.clock(), tiers, mode)
 
     def tail(self, since_ms: int | None = None, query: str = "") -> DataFrame:
-        start = since_ms if since_ms is not None else (span(self.catalog.files()) or (0, 0))[1]
+        start = since_ms if since_ms is not None else self.newest()
         return feeds.tail(self.spark, self.store.full(self.table), start, query, self.clock())
 
     # ------------------------------------------------------------ pages
@@ -115,8 +117,6 @@ class LogLake:
         return insights.pipelines_page(self.catalog.files(), self.clock())
 
     def settings(self) -> dict:
-        from dataclasses import asdict
-
         out = asdict(self.config)
         out["auth"]["api_token"] = "***" if out["auth"]["api_token"] else ""
         return out
@@ -129,8 +129,25 @@ class LogLake:
     def create_alert(self, rule: Rule) -> Rule:
         return self.rules.create(rule, runner(self.engine))
 
-    def evaluate_alerts(self, notify: Callable[[dict], None] | None = None) -> list:
+    def evaluate_alerts(self, notify: Callable[[dict], None] | None = post) -> list:
+        """Runs the rules once; changes go to their webhooks unless told otherwise."""
         return self.rules.evaluate(runner(self.engine), self.clock(), notify)
 
+    def alerts(self) -> list[dict]:
+        """Rules and their states, with times and addresses as short words."""
+        now = self.clock()
+        return [
+            {**asdict(r), "for": humanize(max(0, now - r.status.since_ms)) if r.status.since_ms else None, "condition": f"{r.comparator} {number(r.threshold)}", "current": number(r.status.value), "webhook": host(r.webhook) if r.webhook else None}
+            for r in self.rules.rules()
+        ]
+
+    def queries(self) -> list[dict]:
+        """The newest audited queries; their number is capped."""
+        return [r.asDict() for r in self.audit.queries().collect()]
+
+    def newest(self) -> int:
+        """Time of the newest record in epoch milliseconds, 0 for an empty table."""
+        return (span(self.catalog.files()) or (0, 0))[1]
+
     def health(self) -> bool:
         return self.store.probe()

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import itertools
 import json
+import time
 from dataclasses import asdict
 
 from pyspark.sql import SparkSession
@@ -28,6 +30,11 @@ def parser() -> argparse.ArgumentParser:
     ingest.add_argument("--file", help="newline-delimited JSON; without it, generated records")
     ingest.add_argument("--rows", type=int, default=1000)
     ingest.add_argument("--seed", type=int, default=1)
+    ingest.add_argument("--follow", type=float, metavar="SECONDS", help="ingest generated records of the present again and again")
+    ingest.add_argument("--ticks", type=int, help="end after so many rounds")
+    serve = sub.add_parser("serve")
+    serve.add_argument("--host", default="127.0.0.1")
+    serve.add_argument("--port", type=int, default=8080)
     compact = sub.add_parser("compact")
     compact.add_argument("--target-mib", type=int, default=64)
     for name in ("sql", "query"):
@@ -42,6 +49,13 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def follow(lake: LogLake, rows: int, seed: int, seconds: float, ticks: int | None = None) -> None:
+    """Ingests generated records of the present every so many seconds, each round from a seed of its own."""
+    for tick in itertools.count() if ticks is None else range(ticks):
+        print(lake.ingest(generate(lake.spark, rows, seed + tick, lake.clock() - rows * 200)), flush=True)
+        time.sleep(seconds)
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     config = load(args.config)
@@ -60,6 +74,19 @@ def main(argv: list[str] | None = None) -> int:
         print("ok" if lake.health() else "failed")
     elif args.command == "manifest":
         lake.catalog.files().orderBy("tier", "path").show(1000, truncate=False)
+    elif args.command == "ingest" and args.follow is not None:
+        follow(lake, args.rows, args.seed, args.follow, args.ticks)
+    elif args.command == "serve":
+        from .service import Service, server
+
+        service = Service(lake)
+        service.start()
+        with server(service, args.host, args.port) as http:
+            print(f"http://{args.host}:{http.server_address[1]}", flush=True)
+            try:
+                http.serve_forever()
+            except KeyboardInterrupt:
+                service.stop()
     elif args.command == "ingest":
         print(lake.ingest(read_ndjson(spark, args.file) if args.file else generate(spark, args.rows, args.seed)))
     elif args.command == "compact":

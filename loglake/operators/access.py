@@ -7,12 +7,15 @@ import json
 import secrets
 from dataclasses import asdict, dataclass, replace
 
+from ..config import Auth
 from ..model import Conflict, Forbidden
 from .files import Store
 
 ROLES = ("readonly", "readwrite", "admin")
 #: The least role for each operation.
-NEEDS = {"query": "readonly", "estimate": "readonly", "metrics": "readonly", "tail": "readonly", "audit": "admin", "ingest": "readwrite", "alerts:read": "readonly", "alerts:write": "readwrite", "compact": "readwrite", "tokens": "admin", "settings": "readonly"}
+NEEDS = {"query": "readonly", "estimate": "readonly", "metrics": "readonly", "tail": "readonly", "storage": "readonly", "cost": "readonly", "pipelines": "readonly", "settings": "readonly", "alerts": "readonly"}
+NEEDS |= {"ingest": "readwrite", "ingest_otlp": "readwrite", "create_alert": "readwrite", "remove_alert": "readwrite", "compact": "readwrite"}
+NEEDS |= {"audit": "admin", "tokens": "admin", "issue_token": "admin", "revoke_token": "admin"}
 
 
 @dataclass(frozen=True)
@@ -80,3 +83,41 @@ class Tokens:
         if role is None or not allows(role, operation):
             raise Forbidden(f"{operation} needs the role {NEEDS[operation]}")
         return role
+
+
+class Denied(Forbidden):
+    """No secret, or none that is valid."""
+
+    status = 401
+
+
+class Sessions:
+    """Checks secrets against a copy of the tokens, read again by :meth:`refresh` and not on each request.
+
+    With authentication off everything is allowed; the configured secret is always an administrator's.
+    """
+
+    def __init__(self, tokens: Tokens, auth: Auth) -> None:
+        self.tokens, self.auth = tokens, auth
+        self._known: dict[str, Token] = {}
+        if auth.enabled:
+            self.refresh()
+
+    def refresh(self) -> None:
+        self._known = {t.hash: t for t in self.tokens.list() if not t.revoked}
+
+    def require(self, secret: str | None, operation: str) -> str:
+        """Who may do the operation with this secret; raises otherwise."""
+        if not self.auth.enabled:
+            return "anonymous"
+        if not secret:
+            raise Denied("a token is expected")
+        mark = digest(secret)
+        if self.auth.api_token and secrets.compare_digest(mark, digest(self.auth.api_token)):
+            return "configured-admin"
+        token = self._known.get(mark)
+        if token is None:
+            raise Denied("the token is unknown or revoked")
+        if not allows(token.role, operation):
+            raise Forbidden(f"{operation} needs the role {NEEDS[operation]}, the token has {token.role}")
+        return token.name

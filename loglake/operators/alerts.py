@@ -139,10 +139,18 @@ class Alerts:
         self._change(edit)
         for rule, change in done:
             if change != UNCHANGED and notify:
-                notify({"alert": rule.name, "severity": rule.severity, "state": rule.status.state, "value": rule.status.value, "threshold": rule.threshold, "webhook": rule.webhook})
+                _tell(notify, {"alert": rule.name, "severity": rule.severity, "state": rule.status.state, "value": rule.status.value, "threshold": rule.threshold, "webhook": rule.webhook})
         return done
 
 
+def _tell(notify: Callable[[dict], None], notice: dict) -> None:
+    """One notice; its failure keeps neither the others nor the saved states back."""
+    try:
+        notify(notice)
+    except OSError:
+        return
+
+
 def runner(engine: Engine) -> Callable[[str], float]:
     """Measures a rule over all files of the engine's table."""
 

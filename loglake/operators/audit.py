@@ -10,17 +10,22 @@ from pyspark.sql import functions as F
 
 from .files import Store
 
-CAP = 500
+#: Records between two prunings, so the folder holds some more than the cap.
+CAP, PRUNE_EVERY = 500, 100
 SCHEMA = "ts_millis long, user string, sql string, scanned_bytes long, cost_usd double, tier string"
 
 
 class Audit:
     def __init__(self, store: Store, table: str) -> None:
-        self.store, self.home = store, f"{table}/_audit"
+        self.store, self.home, self._since = store, f"{table}/_audit", 0
 
     def record(self, ts_millis: int, user: str, sql: str, scanned_bytes: int, cost_usd: float, tier: str | None) -> None:
         row = {"ts_millis": ts_millis, "user": user, "sql": sql, "scanned_bytes": scanned_bytes, "cost_usd": cost_usd, "tier": tier}
         self.store.create(f"{self.home}/{ts_millis:015d}-{uuid.uuid4().hex}.json", json.dumps(row).encode())
+        self._since += 1
+        if self._since >= PRUNE_EVERY:
+            self._since = 0
+            self.prune()
 
     def prune(self) -> int:
         """Deletes records beyond the cap, the oldest first."""

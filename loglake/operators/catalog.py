@@ -86,10 +86,11 @@ class Catalog:
         per_file = sets.where("trigrams IS NOT NULL").select("path", F.explode("trigrams").alias("t")).groupBy("path").agg(F.collect_set("t").alias("trigrams"))
         return rows.join(per_file, "path", "left")
 
-    def row_groups(self, version: int | None = None) -> DataFrame:
-        """path, row_group, trigrams of live files."""
+    def row_groups(self, version: int | None = None, of: DataFrame | None = None) -> DataFrame:
+        """path, row_group, trigrams of live files, or of given ones of them."""
         head = self.head(version)
-        return self._read([n.replace("files-", "grams-") for n in head["added"]], TRIGRAMS).join(self.files(version).select("path"), "path", "left_semi")
+        of = self.files(version) if of is None else of
+        return self._read([n.replace("files-", "grams-") for n in head["added"]], TRIGRAMS).join(of.select("path"), "path", "left_semi")
 
     def has(self, batch: str, head: dict | None = None) -> bool:
         """Whether a batch was ever committed, whatever became of its files since."""
@@ -98,22 +99,27 @@ class Catalog:
             return True
         return bool(head.get("ledger")) and not self._read([head["ledger"]], BATCHES).where(F.col("batch") == batch).isEmpty()
 
-    def append(self, files: DataFrame, grams: DataFrame, batch: str) -> bool:
-        """Adds a batch's file rows, unless a version has the batch: of several senders one adds it. Text sets are written before
-        the version that names them."""
+    def _place(self, files: DataFrame, grams: str) -> str:
+        """Writes file rows as a part and moves their text sets, a folder that executors wrote, beside it."""
         name = self._part(files.select(*FILE_SCHEMA.names), "files")
-        grams.select(*TRIGRAMS.names).coalesce(1).write.parquet(self.store.full(f"{self.home}/{name.replace('files-', 'grams-')}"))
+        self.store.move(grams, f"{self.home}/{name.replace('files-', 'grams-')}")
+        return name
+
+    def append(self, files: DataFrame, grams: str, batch: str) -> bool:
+        """Adds a batch's file rows, unless a version has the batch: of several senders one adds it. Text sets are in place before
+        the version that names them."""
+        name = self._place(files, grams)
         done = self.commit(lambda h: None if self.has(batch, h) else {**h, "added": [*h["added"], name], "batches": [*h.get("batches", []), batch]})
         return name in done["added"]
 
-    def replace(self, files: DataFrame, grams: DataFrame, gone: list[str]) -> dict:
+    def replace(self, files: DataFrame, grams: str, gone: list[str]) -> dict:
         """Compaction's commit: files in, paths out, next generation. Fails unless every path is live in the version it follows."""
-        name = self._part(files.select(*FILE_SCHEMA.names), "files")
-        grams.select(*TRIGRAMS.names).coalesce(1).write.parquet(self.store.full(f"{self.home}/{name.replace('files-', 'grams-')}"))
-        drop = self._part(self.spark.createDataFrame([(p,) for p in gone], PATHS), "drops")
+        name = self._place(files, grams)
+        taken = self.spark.createDataFrame([(p,) for p in gone], PATHS)
+        drop = self._part(taken, "drops")
 
         def change(h: dict) -> dict:
-            live = self._read(h["added"], FILE_SCHEMA).where(F.col("path").isin(gone)).select("path").distinct()
+            live = self._read(h["added"], FILE_SCHEMA).join(taken, "path", "left_semi").select("path").distinct()
             if h["dropped"]:
                 live = live.join(self._read(h["dropped"], PATHS), "path", "left_anti")
             if live.count() < len(set(gone)):

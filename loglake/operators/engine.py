@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import shims
-from ..model import LOG_SCHEMA, TIERS, BadQuery, ResultTooLarge
+from ..model import FILE_SCHEMA, LOG_SCHEMA, TIERS, BadQuery, ResultTooLarge
 from ..plans.cost import estimate_scan, priced
 from ..plans.dsl import DEFAULT_LIMIT, Search, is_sql, parse
-from ..plans.prune import select_files, select_row_groups, selectivity
+from ..plans.prune import select_files, select_row_groups
 from ..sources import rowgroups
 from .catalog import Catalog
 from .insights import histogram
@@ -58,23 +58,30 @@ class Engine:
 
     def select(self, search: Search | None, tiers: Iterable[str] | None = None) -> Selection:
         """The files for a search (all of the tiers' for raw SQL), text sets being read only if a term needs them."""
+        chosen, groups = self.candidates(search, tiers)
+        files = [r.asDict() for r in chosen.orderBy("path").collect()]
+        if groups is None or not files:
+            return Selection([{k: f[k] for k in FILE_SCHEMA.names} for f in files], {}, 0)
+        total = groups.count()
+        kept = {f["path"]: f["groups"] for f in files if f["groups"] is not None}
+        return Selection([{k: f[k] for k in FILE_SCHEMA.names} for f in files], kept, total)
+
+    def candidates(self, search: Search | None, tiers: Iterable[str] | None = None) -> tuple[DataFrame, DataFrame | None]:
+        """The files that a search reads and, if it has a text term, the text sets of all files that tier, time and values admit.
+
+        With a text term a file has ``groups``, those of its row groups that may hold the term, or null where its sets are not
+        recorded for each: it is read whole. A file all of whose sets lack the term is left out. Sets meet the term one
+        row group at a time, after the other tests; no file's sets are merged.
+        """
         facts = search.facts if search else ()
-        text = any(f.kind == "text" for f in facts)
-        chosen = select_files(self.catalog.files(trigrams=text), tiers, search.window if search else None, facts)
-        files = [r.asDict() for r in chosen.drop("trigrams").orderBy("path").collect()]
-        if not text or not files:
-            return Selection(files, {}, 0)
-        groups = self.catalog.row_groups().where(F.col("path").isin([f["path"] for f in files]))
-        live = self.spark.createDataFrame([(f["path"], f["row_groups"]) for f in files], "path string, row_groups long")
-        kept: dict[str, list[int]] = {}
-        passed = select_row_groups(groups, live, facts)
-        for r in passed.collect():
-            kept.setdefault(r["path"], []).append(r["row_group"])
-        total = selectivity(groups, passed).first()["row_groups_total"]
-        # A file with sound sets of which none may match is proven empty.
-        sound = {r["path"] for r in groups.groupBy("path").agg(F.count(F.lit(1)).alias("n")).join(live, "path").where("n = row_groups").select("path").collect()}
-        files = [f for f in files if f["path"] not in sound or f["path"] in kept]
-        return Selection(files, {p: sorted(g) for p, g in kept.items()}, total)
+        files = select_files(self.catalog.files(), tiers, search.window if search else None, [f for f in facts if f.kind != "text"])
+        if not any(f.kind == "text" for f in facts):
+            return files, None
+        groups = self.catalog.row_groups(of=files)
+        passed = select_row_groups(groups, files.select("path", "row_groups"), facts).groupBy("path").agg(F.sort_array(F.collect_list("row_group")).alias("groups"))
+        recorded = groups.groupBy("path").agg(F.count(F.lit(1)).alias("_recorded"))
+        rows = files.join(recorded, "path", "left").join(passed, "path", "left")
+        return rows.where(F.col("groups").isNotNull() | F.col("_recorded").isNull() | (F.col("_recorded") != F.col("row_groups"))).drop("_recorded"), groups
 
     # ------------------------------------------------------------ run
 
@@ -108,9 +115,11 @@ class Engine:
         picked = self.select(search, tiers)
         logs = self.scan(f["path"] for f in picked.files)
         rows = self.rows(self.plan(query, logs, now_ms, limit))
-        bars = histogram(logs, *_range(picked.files)).collect() if picked.files else []
+        # One pass gives bars and matches: what matches is counted beside each bar.
+        match = F.count_if(search.condition()) if search else F.count(F.lit(1))
+        bars = histogram(logs, *_range(picked.files), match.alias("matches")).collect() if picked.files else []
         in_files = sum(b["total"] for b in bars)
-        events = logs.where(search.condition()).count() if search and picked.files else in_files
+        events = sum(b["matches"] for b in bars)
         return {
             "rows": rows,
             "stats": {
@@ -139,22 +148,19 @@ class Engine:
     def estimate(self, query: str, now_ms: int, tiers: Iterable[str] | None = None, mode: str = "standard") -> dict:
         """The price of :meth:`query` before it runs, by the same selection."""
         search = None if is_sql(query) else parse(query, now_ms)
-        facts = search.facts if search else ()
         speed = self.config.query.scan_mib_per_core * (1 << 20) * self.config.query.cores
-        return estimate_scan(self.catalog.files(trigrams=any(f.kind == "text" for f in facts)), tiers, search.window if search else None, facts, speed, mode)
+        return estimate_scan(self.catalog.files(), bytes_per_s=speed, mode=mode, chosen=self.candidates(search, tiers)[0])
 
     # ------------------------------------------------------------ bounded results
 
     def batches(self, df: DataFrame) -> Iterator[pa.RecordBatch]:
         """The result, refused rather than cut if it has more rows or bytes than configured.
 
-        Rows are counted by a job that stops one past the limit; then partitions come one after the other.
+        One row past the limit is asked for; rows come in short batches, each held against the bytes allowed before the next is made.
         """
         most_rows, most_bytes = self.config.query.max_result_rows, self.config.query.max_result_bytes
-        capped = df.limit(most_rows + 1)
-        table = capped.toArrow() if most_rows <= 50_000 else _by_partition(capped, most_bytes)
         rows = size = 0
-        for batch in table.to_batches() if isinstance(table, pa.Table) else table:
+        for batch in _by_partition(df.limit(most_rows + 1)):
             rows, size = rows + batch.num_rows, size + batch.nbytes
             if rows > most_rows:
                 raise ResultTooLarge(f"the result has more than {most_rows} rows")
@@ -178,8 +184,7 @@ class Engine:
         return out.getvalue().to_pybytes()
 
     def pretty(self, df: DataFrame) -> str:
-        table = pa.Table.from_batches(list(self.batches(df))) if (made := self.rows(df)) else None
-        names = table.column_names if table is not None else df.columns
+        made, names = self.rows(df), df.columns
         cells = [[str(r.get(n, "")) for n in names] for r in made]
         widths = [max([len(n), *(len(c[k]) for c in cells)]) for k, n in enumerate(names)]
         line = "+" + "+".join("-" * (w + 2) for w in widths) + "+"
@@ -187,13 +192,16 @@ class Engine:
         return "\n".join([line, text(names), line, *map(text, cells), line])
 
 
-def _by_partition(df: DataFrame, most_bytes: int) -> Iterator[pa.RecordBatch]:
+BATCH_ROWS = 512
+
+
+def _by_partition(df: DataFrame) -> Iterator[pa.RecordBatch]:
     """Batches without holding the whole result: partition by partition, through the row iterator."""
-    schema = pa.Table.from_batches(df.limit(0).toArrow().to_batches() or [pa.RecordBatch.from_pylist([], df.limit(0).toArrow().schema)]).schema
+    schema = df.limit(0).toArrow().schema
     held: list[dict] = []
     for row in df.toLocalIterator():
         held.append(row.asDict(recursive=True))
-        if len(held) == 8192:
+        if len(held) == BATCH_ROWS:
             yield pa.RecordBatch.from_pylist(held, schema)
             held = []
     if held:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.records import tier_of, ts_millis
+from ..functions.records import approx_bytes, tier_of, ts_millis
 from ..functions.trigrams import ids
 from ..model import FILE_SCHEMA, LOG_COLUMNS, TIERS
 from .catalog import TRIGRAMS, Catalog
@@ -30,8 +30,14 @@ class Report:
     deduped: bool = False
 
 
-def write_options(config: Config) -> dict[str, str]:
-    out = {"compression": "zstd", "parquet.compression.codec.zstd.level": "3", "maxRecordsPerFile": str(config.ingest.roll_rows), "parquet.block.row.count.limit": str(config.ingest.row_group_rows)}
+def rows_a_file(config: Config, rows: int, size: int) -> int:
+    """Records after which a file is rolled: as many as are allowed, or fewer where those would exceed the bytes allowed."""
+    most, room = config.ingest.roll_rows, config.ingest.roll_bytes
+    return most if not size or room <= 0 else max(1, min(most or rows, room * rows // size))
+
+
+def write_options(config: Config, roll: int | None = None) -> dict[str, str]:
+    out = {"compression": "zstd", "parquet.compression.codec.zstd.level": "3", "maxRecordsPerFile": str(config.ingest.roll_rows if roll is None else roll), "parquet.block.row.count.limit": str(config.ingest.row_group_rows)}
     return out | {f"parquet.bloom.filter.enabled#{c}": "true" for c in BLOOM_COLUMNS}
 
 
@@ -63,7 +69,7 @@ class Ingestor:
     def ingest(self, logs: DataFrame) -> Report:
         """Appends records; the frame must give the same rows whenever it runs."""
         logs = logs.select(*LOG_COLUMNS)
-        mark = logs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*LOG_COLUMNS).cast("decimal(38,0)")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), *LOG_COLUMNS)).alias("b")).first()
+        mark = logs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*LOG_COLUMNS).cast("decimal(38,0)")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), *LOG_COLUMNS)).alias("b"), F.sum(approx_bytes(F.col("message"), F.col("service"), F.col("attrs_json"))).alias("size")).first()
         if not mark["n"]:
             return Report(0, 0, 0)
         batch = f"{(int(mark['a']) ^ int(mark['n'])) & (2**64 - 1):016x}{mark['b'] & (2**64 - 1):016x}"
@@ -71,9 +77,10 @@ class Ingestor:
             return Report(mark["n"], 0, 0, deduped=True)
         tiered = logs.withColumn("tier", tier_of(F.col("level"), self.config.routing))
         # An hour of a tier may be most of a batch: it is dealt to as many tasks as it has files' worth of rows.
-        pieces = max(1, mark["n"] // max(1, self.config.ingest.roll_rows))
+        roll = rows_a_file(self.config, mark["n"], mark["size"])
+        pieces = max(1, mark["n"] // max(1, roll))
         salt = F.pmod(F.xxhash64(*LOG_COLUMNS), F.lit(pieces))
-        files, grams = self.write(tiered.repartition("tier", F.floor(ts_millis(F.col("ts")) / 3_600_000), salt).sortWithinPartitions("tier", "ts"), batch)
+        files, grams = self.write(tiered.repartition("tier", F.floor(ts_millis(F.col("ts")) / 3_600_000), salt).sortWithinPartitions("tier", "ts"), batch, roll=roll)
         if not self.catalog.append(files, grams, batch):
             return Report(mark["n"], 0, 0, deduped=True)
         done = files.agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b")).first()
@@ -83,13 +90,14 @@ class Ingestor:
     def _name(self, tier: str, batch: str, k: int, kind: str = "part") -> str:
         return f"{self.table}/{tier}/{kind}-{batch}-{k:05d}.parquet"
 
-    def write(self, tiered: DataFrame, batch: str, kind: str = "part") -> tuple[DataFrame, DataFrame]:
-        """Writes rows with a tier to their places; returns the manifest rows and trigram rows of the new files.
+    def write(self, tiered: DataFrame, batch: str, kind: str = "part", roll: int | None = None) -> tuple[DataFrame, str]:
+        """Writes rows with a tier to their places; returns the manifest rows of the new files and the folder of their trigram rows,
+        which executors write: only file rows pass through the driver.
 
         ``kind`` begins the files' names: ``part`` as ingested, ``c`` and a generation as merged.
         """
         staging = f"{self.table}/_staging/{uuid.uuid4().hex}"
-        tiered.write.options(**write_options(self.config)).partitionBy("tier").parquet(self.store.full(staging))
+        tiered.write.options(**write_options(self.config, roll)).partitionBy("tier").parquet(self.store.full(staging))
         rows, spark = [], self.store.spark
         for tier in TIERS:
             written = [(n, size) for n, size in self.store.list(f"{staging}/tier={tier}") if n.endswith(".parquet")]
@@ -99,14 +107,14 @@ class Ingestor:
         stats, sets = file_stats(read, self.config.ingest.row_group_rows)
         # Taken before the staged files move.
         files = placed.join(stats, "name").select(*FILE_SCHEMA.names)
-        grams = placed.join(sets, "name").select(*TRIGRAMS.names)
-        files, grams = _held(spark, files), _held(spark, grams, TRIGRAMS)
+        files, grams = _held(spark, files), f"{staging}-grams"
+        placed.join(sets, "name").select(*TRIGRAMS.names).write.parquet(self.store.full(grams))
         for name, path, _, _ in rows:
             self.store.move(f"{staging}/{name}", path)
         self.store.delete(staging)
         return files, grams
 
 
-def _held(spark, df: DataFrame, schema=FILE_SCHEMA) -> DataFrame:
-    """Catalog rows of one batch of files, kept on the driver: a few kilobytes per file."""
-    return spark.createDataFrame(df.collect(), schema)
+def _held(spark, df: DataFrame) -> DataFrame:
+    """File rows of one batch, kept on the driver: names, ranges and short lists of values."""
+    return spark.createDataFrame(df.collect(), FILE_SCHEMA)

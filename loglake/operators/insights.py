@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.records import ts_millis
 from ..model import TIERS
 from ..plans.cost import GIB, HOSTED_USD, STORAGE_USD, TIER_CLASS, by_tier
 
@@ -19,10 +18,10 @@ def bucket_seconds(start_ms: int, end_ms: int) -> int:
     return max(1, (end_ms - start_ms) // BARS // 1000)
 
 
-def histogram(logs: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
-    """bucket_start, total, errors by time, buckets counted from the epoch; empty ones are absent."""
-    bars = logs.groupBy(F.window("ts", f"{bucket_seconds(start_ms, end_ms)} seconds").alias("w")).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("level") == "ERROR").alias("errors"))
-    return bars.select(F.col("w.start").alias("bucket_start"), "total", "errors").orderBy("bucket_start")
+def histogram(logs: DataFrame, start_ms: int, end_ms: int, *more: Column) -> DataFrame:
+    """bucket_start, total, errors and further aggregates by time, buckets counted from the epoch; empty ones are absent."""
+    bars = logs.groupBy(F.window("ts", f"{bucket_seconds(start_ms, end_ms)} seconds").alias("w")).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("level") == "ERROR").alias("errors"), *more)
+    return bars.select(F.col("w.start").alias("bucket_start"), *[c for c in bars.columns if c != "w"]).orderBy("bucket_start")
 
 
 def filled(bars: DataFrame, seconds: int) -> DataFrame:
@@ -84,7 +83,3 @@ def pipelines_page(files: DataFrame, now_ms: int) -> dict:
     if not row["n"]:
         return {"ingest_lag_s": None, "roll_cadence_s": None, "files": 0}
     return {"ingest_lag_s": max(0, now_ms - row["b"]) / 1000, "roll_cadence_s": (row["b"] - row["a"]) / 1000 / row["n"], "files": row["n"]}
-
-
-def with_millis(logs: DataFrame) -> DataFrame:
-    return logs.withColumn("ts_millis", ts_millis(F.col("ts")))

@@ -59,9 +59,9 @@ def priced(files: DataFrame, mode: str = "standard") -> DataFrame:
     )
 
 
-def estimate_scan(manifest: DataFrame, tiers: Iterable[str] | None = None, window: tuple[int | None, int | None] | None = None, facts: Iterable[Fact] = (), bytes_per_s: float = 0.0, mode: str = "standard") -> dict:
-    """The price of a scan: exactly the files that the scan would read. Nothing but the catalog is opened."""
-    chosen = select_files(manifest, tiers, window, list(facts))
+def estimate_scan(manifest: DataFrame, tiers: Iterable[str] | None = None, window: tuple[int | None, int | None] | None = None, facts: Iterable[Fact] = (), bytes_per_s: float = 0.0, mode: str = "standard", chosen: DataFrame | None = None) -> dict:
+    """The price of a scan: exactly the files that the scan would read, or those already chosen. Nothing but the catalog is opened."""
+    chosen = select_files(manifest, tiers, window, list(facts)) if chosen is None else chosen
     rows = {r["tier"]: r for r in priced(chosen, mode).collect()}
     # At most one row per tier comes here.
     tiers_out = [rows[t].asDict() for t in TIERS if t in rows]
