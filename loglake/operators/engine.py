@@ -60,7 +60,7 @@ class Engine:
         """The files for a search (all of the tiers' for raw SQL), text sets being read only if a term needs them."""
         chosen, groups = self.candidates(search, tiers)
         files = [r.asDict() for r in chosen.orderBy("path").collect()]
-        if groups is None or not files:
+        if groups is None:
             return Selection([{k: f[k] for k in FILE_SCHEMA.names} for f in files], {}, 0)
         total = groups.count()
         kept = {f["path"]: f["groups"] for f in files if f["groups"] is not None}

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalogue, lake, search, surface
+from . import catalogue, lake, search, services, surface
 
-_ALL = {**search.QUERIES, **catalogue.QUERIES, **surface.QUERIES, **lake.QUERIES}
+_ALL = {**search.QUERIES, **catalogue.QUERIES, **surface.QUERIES, **lake.QUERIES, **services.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

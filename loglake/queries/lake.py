@@ -106,11 +106,14 @@ QUERIES["lake_storage_page"] = (_stored, f"{logs_cte()} SELECT DISTINCT tier, CA
 
 
 def _pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a compaction would take every file of a tier that three batches left."""
     lake = filled(spark, sf_dir, 3)
-    return spark.createDataFrame(sorted(lake.compactor.pending().items()), "tier string, files long")
+    # How many files a batch makes of a tier is the planner's choice; that all of them are small and pending is not.
+    counts = {r["tier"]: r["count"] for r in lake.catalog.files().groupBy("tier").count().collect()}
+    return spark.createDataFrame([(t, n == counts[t] and n >= 3) for t, n in sorted(lake.compactor.pending().items())], "tier string, every_file boolean")
 
 
-QUERIES["pending_compaction"] = (_pending, None)
+QUERIES["pending_compaction"] = (_pending, f"{logs_cte()} SELECT DISTINCT tier, TRUE AS every_file FROM logs")
 
 
 def _arrow(spark: SparkSession, sf_dir: str) -> DataFrame:

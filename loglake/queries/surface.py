@@ -12,6 +12,8 @@ from ..sources.tables import event_logs, load, logs_cte
 from .search import Query
 
 QUERIES: dict[str, Query] = {}
+#: Days of a timestamp: windows over all of a service's time are cut by them, so that no task sorts more than a day.
+_DAY = "epoch_millis(ts) DIV 86400000"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 
@@ -55,7 +57,11 @@ _both(
 _both(
     "join_asof",
     "SELECT event_id, (SELECT max(b.ts) FROM logs b WHERE b.service = a.service AND b.level = 'ERROR' AND b.ts < a.ts) AS last_error FROM logs a WHERE a.level = 'WARN'",
-    "SELECT event_id, last_error FROM (SELECT event_id, level, max(CASE WHEN level = 'ERROR' THEN ts END) OVER (PARTITION BY service ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL '0.001' SECOND PRECEDING) AS last_error FROM logs) WHERE level = 'WARN'",
+    # By days: a row looks back within its own day, and to what the days before carry over, one row each.
+    f"""WITH x AS (SELECT *, {_DAY} AS d FROM logs WHERE level IN ('ERROR', 'WARN')),
+    c AS (SELECT service, d, max(top) OVER (PARTITION BY service ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS carried FROM (SELECT service, d, max(CASE WHEN level = 'ERROR' THEN ts END) AS top FROM x GROUP BY service, d)),
+    w AS (SELECT event_id, level, service, d, max(CASE WHEN level = 'ERROR' THEN ts END) OVER (PARTITION BY service, d ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL '0.001' SECOND PRECEDING) AS here FROM x)
+    SELECT event_id, coalesce(here, carried) AS last_error FROM w JOIN c USING (service, d) WHERE level = 'WARN'""",
 )
 _both(
     "join_star",
@@ -77,9 +83,17 @@ _both("subq_lateral", "SELECT s.service, t.n FROM (SELECT DISTINCT service FROM
 _both("win_rank", "SELECT event_id, row_number() OVER w AS rn, rank() OVER v AS rk, dense_rank() OVER v AS dr, ntile(4) OVER w AS quarter FROM logs WINDOW w AS (PARTITION BY service ORDER BY ts, event_id), v AS (PARTITION BY service ORDER BY status NULLS LAST)")
 _both("win_distribution", "SELECT event_id, round(percent_rank() OVER w, 9) AS pr, round(cume_dist() OVER w, 9) AS cd FROM logs WINDOW w AS (PARTITION BY level ORDER BY ts)")
 _both("win_lag_gap", "SELECT event_id, lag(event_id) OVER w AS before_id, lead(event_id, 2) OVER w AS after_id, first_value(event_id) OVER w AS first_id FROM logs WINDOW w AS (PARTITION BY service ORDER BY ts, event_id)")
-_both("win_running", "SELECT event_id, CAST(sum(coalesce(status, 0)) OVER (PARTITION BY service ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running FROM logs")
+_both(
+    "win_running", "SELECT event_id, CAST(sum(coalesce(status, 0)) OVER (PARTITION BY service ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running FROM logs",
+    f"""WITH x AS (SELECT *, {_DAY} AS d FROM logs),
+    c AS (SELECT service, d, coalesce(sum(total) OVER (PARTITION BY service ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT service, d, sum(coalesce(status, 0)) AS total FROM x GROUP BY service, d)),
+    w AS (SELECT event_id, service, d, sum(coalesce(status, 0)) OVER (PARTITION BY service, d ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS here FROM x)
+    SELECT event_id, CAST(here + before AS BIGINT) AS running FROM w JOIN c USING (service, d)""")
 _both("win_frame", "SELECT event_id, count(*) OVER (PARTITION BY service ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS near, nth_value(event_id, 2) OVER (PARTITION BY service ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS second FROM logs")
-_both("win_range_frame", "SELECT event_id, count(*) OVER (PARTITION BY level ORDER BY ts RANGE BETWEEN INTERVAL '1' HOUR PRECEDING AND CURRENT ROW) AS last_hour FROM logs")
+_both(
+    "win_range_frame", "SELECT event_id, count(*) OVER (PARTITION BY level ORDER BY ts RANGE BETWEEN INTERVAL '1' HOUR PRECEDING AND CURRENT ROW) AS last_hour FROM logs",
+    """WITH x AS (SELECT event_id, level, ts, h, explode(array(h, h + 1)) AS at FROM (SELECT *, epoch_millis(ts) DIV 3600000 AS h FROM logs))
+    SELECT event_id, last_hour FROM (SELECT event_id, h, at, count(*) OVER (PARTITION BY level, at ORDER BY ts RANGE BETWEEN INTERVAL '1' HOUR PRECEDING AND CURRENT ROW) AS last_hour FROM x) WHERE at = h""")
 _both("topk_per_service", "SELECT service, event_id, ts FROM (SELECT service, event_id, ts, row_number() OVER (PARTITION BY service ORDER BY ts DESC, event_id) AS rn FROM logs) t WHERE rn <= 3")
 
 # ---------------------------------------------------------------- sets, order, grouping
