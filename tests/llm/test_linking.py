@@ -27,3 +27,14 @@ def test_first_common_key_in_a_large_bucket(spark, monkeypatch):
     for n in (1, 3, 8):
         keys[n][20] = 9
     assert linked(spark, keys, (3, 8)) == {(3, 8)}
+
+
+@pytest.mark.parametrize("most_work", [1 << 20, 2])
+def test_pairs_without_an_own_key(spark, monkeypatch, most_work):
+    """With own, two items of which neither has the key as its own are no pair, inside the main group's reach or outside."""
+    monkeypatch.setattr(linking, "MOST_WORK", most_work)
+    rows = spark.createDataFrame([(7, 0, n, n in (2, 4)) for n in range(6)], "key bigint, i int, node bigint, own boolean")
+    items = spark.createDataFrame([(n, n, n) for n in range(6)], "node bigint, rank int, id int")
+    met = lambda l, r: (F.least(l + "id", r + "id") > 0) | (F.greatest(l + "id", r + "id") <= 2)
+    out = linking.link(rows, lambda shared: items.join(shared.select("node"), "node", "left_semi"), met, lambda pairs: pairs)
+    assert sorted((r.a, r.b) for r in out.collect()) == [(0, 1), (0, 2), (1, 4), (2, 3), (2, 4), (2, 5), (3, 4), (4, 5)]
