@@ -7,7 +7,7 @@ reverse does not hold. All expressions are native.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Symbols in order of their number; the last stands for every other character.
@@ -20,13 +20,33 @@ def folded(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), "[^a-z0-9]", "_")
 
 
+def runs(text: Column) -> Column:
+    """The three-character runs of a text in order, repeated ones too; null for null. One pass over the text, and no lambda, whose body
+    would evaluate the text's expression anew for each place."""
+    return F.regexp_extract_all(folded(text), F.lit("(?=(...))"), F.lit(1))
+
+
+def run_id(run: Column) -> Column:
+    """Number of a three-character run."""
+    a, b, c = (F.instr(F.lit(ALPHABET), F.substring(run, k, 1)) - 1 for k in (1, 2, 3))
+    return (a * SYMBOLS + b) * SYMBOLS + c
+
+
 def ids(text: Column) -> Column:
     """Distinct trigram ids of a text, empty for fewer than three characters, null for null."""
-    codes = F.transform(F.split(folded(text), ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-    # split by the empty string may leave an empty tail, which has number -1
-    codes = F.filter(codes, lambda c: c >= 0)
-    triples = F.transform(F.sequence(F.lit(1), F.size(codes) - 2), lambda i: F.element_at(codes, i) * (SYMBOLS * SYMBOLS) + F.element_at(codes, i + 1) * SYMBOLS + F.element_at(codes, i + 2))
-    return F.when(text.isNull(), None).when(F.length(folded(text)) < 3, F.array().cast("array<int>")).otherwise(F.array_distinct(triples))
+    return F.array_distinct(F.transform(runs(text), run_id))
+
+
+def sets(rows: DataFrame, keys: list[str], text: Column, short: bool = False, term: str | None = None) -> DataFrame:
+    """``keys`` and t, each trigram id of a key once, or each of a term's. With ``short`` a key without any has a row with null.
+
+    Runs are made distinct before they are numbered, so a row costs what its length does.
+    """
+    spread = F.explode_outer if short else F.explode
+    found = rows.select(*keys, spread(runs(text)).alias("t"))
+    if term is not None:
+        found = found.where(F.col("t").isin(term_runs(term)))
+    return found.distinct().select(*keys, run_id(F.col("t")).alias("t"))
 
 
 def term_ids(term: str) -> list[int]:
@@ -35,6 +55,11 @@ def term_ids(term: str) -> list[int]:
     return sorted({(a * SYMBOLS + b) * SYMBOLS + c for a, b, c in zip(codes, codes[1:], codes[2:], strict=False)})
 
 
+def term_runs(term: str) -> list[str]:
+    """The same as characters."""
+    return [ALPHABET[t // SYMBOLS**2] + ALPHABET[t // SYMBOLS % SYMBOLS] + ALPHABET[t % SYMBOLS] for t in term_ids(term)]
+
+
 def may_contain(trigrams: Column, term: str) -> Column:
     """False only on proof: a recorded set that lacks a trigram of the term."""
     wanted = term_ids(term)

@@ -9,12 +9,12 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..functions import trigrams
 from ..functions.records import approx_bytes, tier_of, ts_millis
-from ..functions.trigrams import ids
 from ..model import FILE_SCHEMA, LOG_COLUMNS, TIERS
 from .catalog import TRIGRAMS, Catalog
 from .files import Store
@@ -38,16 +38,20 @@ def rows_a_file(config: Config, rows: int, size: int) -> int:
 
 def write_options(config: Config, roll: int | None = None) -> dict[str, str]:
     out = {"compression": "zstd", "parquet.compression.codec.zstd.level": "3", "maxRecordsPerFile": str(config.ingest.roll_rows if roll is None else roll), "parquet.block.row.count.limit": str(config.ingest.row_group_rows)}
-    return out | {f"parquet.bloom.filter.enabled#{c}": "true" for c in BLOOM_COLUMNS}
+    # A filter is as large as a row group's values need; without their number it takes 1 MiB for each column of each row group.
+    for c in BLOOM_COLUMNS:
+        out |= {f"parquet.bloom.filter.enabled#{c}": "true", f"parquet.bloom.filter.expected.ndv#{c}": str(config.ingest.row_group_rows)}
+    return out
 
 
 def file_stats(files: DataFrame, row_group_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(per file: rows, time range, services, levels, row_groups; per row group: trigram set), keyed by folder and
-    file name, since one task gives its files of all tiers one name.
+    """(per file: rows, time range, services, levels, row_groups; per row group: trigram set), the first keyed by folder and
+    file name, since one task gives its files of all tiers one name, the second by the number of that.
 
-    Sets are merged before they are dealt, so a file's rows need not meet in one task.
+    Sets are merged before they are dealt, so a file's rows need not meet in one task. Each trigram of a group once, with map-side
+    combining, then at most 37**3 per list. Until then a file goes by a number: two of one number would get sets too large, which rule out less.
     """
-    rows = files.select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+/[^/]+)$", 1).alias("name"), F.floor(F.col("_metadata.row_index") / row_group_rows).cast("int").alias("row_group"), "ts", "service", "level", "message")
+    rows = files.select(F.substring_index("_metadata.file_path", "/", -2).alias("name"), F.floor(F.col("_metadata.row_index") / row_group_rows).cast("int").alias("row_group"), "ts", "service", "level", "message")
     stats = rows.groupBy("name").agg(
         F.count(F.lit(1)).alias("rows"),
         F.min(ts_millis(F.col("ts"))).alias("min_ts"),
@@ -56,10 +60,12 @@ def file_stats(files: DataFrame, row_group_rows: int) -> tuple[DataFrame, DataFr
         F.sort_array(F.collect_set("level")).alias("levels"),
         (F.max("row_group") + 1).cast("long").alias("row_groups"),
     )
-    # Each trigram of a group once: a distinct with map-side combining, then at most 37**3 per list.
-    grams = rows.select("name", "row_group", F.explode_outer(ids(F.col("message"))).alias("t")).distinct()
-    sets = grams.groupBy("name", "row_group").agg(F.sort_array(F.collect_list("t")).alias("trigrams"))
-    return stats, sets
+    grams = trigrams.sets(rows.select(file_number(F.col("name")), "row_group", "message"), ["file", "row_group"], F.col("message"), short=True)
+    return stats, grams.groupBy("file", "row_group").agg(F.sort_array(F.collect_list("t")).alias("trigrams"))
+
+
+def file_number(name: Column) -> Column:
+    return F.xxhash64(name).alias("file")
 
 
 class Ingestor:
@@ -108,7 +114,7 @@ class Ingestor:
         # Taken before the staged files move.
         files = placed.join(stats, "name").select(*FILE_SCHEMA.names)
         files, grams = _held(spark, files), f"{staging}-grams"
-        placed.join(sets, "name").select(*TRIGRAMS.names).write.parquet(self.store.full(grams))
+        placed.withColumn("file", file_number(F.col("name"))).join(sets, "file").select(*TRIGRAMS.names).write.parquet(self.store.full(grams))
         for name, path, _, _ in rows:
             self.store.move(f"{staging}/{name}", path)
         self.store.delete(staging)

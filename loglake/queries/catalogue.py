@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.records import normal_level, severity_level, tier_of, ts_millis
-from ..functions.trigrams import ALPHABET, ids, may_contain, term_ids
+from ..functions.trigrams import ALPHABET, may_contain, sets
 from ..operators import insights
 from ..operators.catalog import totals
 from ..plans.cost import priced
@@ -61,9 +61,9 @@ _on_files("pipelines_lag", lambda f: f.agg(((F.lit(1_706_659_200_000) - F.max("m
 _CODES = f"list_transform(string_split(regexp_replace(lower(message), '[^a-z0-9]', '_', 'g'), ''), lambda c: instr('{ALPHABET}', c) - 1)"
 
 
-def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sets(spark: SparkSession, sf_dir: str, term: str | None = None) -> DataFrame:
     logs = event_logs(spark, sf_dir).withColumn("part", F.floor(ts_millis(F.col("ts")) / SPAN_MS).cast("long"))
-    return logs.select("tier", "part", F.explode(ids(F.col("message"))).alias("t")).distinct()
+    return sets(logs, ["tier", "part"], F.col("message"), term=term)
 
 
 QUERIES["trigram_file_sets"] = (
@@ -78,8 +78,8 @@ def _pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text search that reads only the modelled files whose trigrams admit the term."""
     term = "inventory"
     logs = event_logs(spark, sf_dir).withColumn("part", F.floor(ts_millis(F.col("ts")) / SPAN_MS).cast("long"))
-    sets = _sets(spark, sf_dir).where(F.col("t").isin(term_ids(term))).groupBy("tier", "part").agg(F.collect_set("t").alias("trigrams"))
-    return logs.join(sets.where(may_contain(F.col("trigrams"), term)), ["tier", "part"], "left_semi").where(F.col("message").ilike(f"%{term}%")).select("event_id", "message")
+    found = _sets(spark, sf_dir, term).groupBy("tier", "part").agg(F.collect_set("t").alias("trigrams"))
+    return logs.join(found.where(may_contain(F.col("trigrams"), term)), ["tier", "part"], "left_semi").where(F.col("message").ilike(f"%{term}%")).select("event_id", "message")
 
 
 QUERIES["trigram_prune_equals_scan"] = (_pruned, f"{logs_cte()} SELECT event_id, message FROM logs WHERE message ILIKE '%inventory%'")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import Config, Ingest
 from ..functions import shims
 from ..functions.records import approx_bytes, ts_millis
-from ..functions.trigrams import decode, encode, ids
+from ..functions.trigrams import decode, encode, sets
 from ..functions.words import host, humanize, number
 from ..operators import access, alerts, audit, insights, lifecycle
 from ..operators.compact import bins
@@ -205,8 +205,8 @@ QUERIES["agg_approximate"] = (
 
 def _codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text sets of each service through their compact form and back, sparse and dense."""
-    sets = event_logs(spark, sf_dir).select("service", F.explode(ids(F.col("message"))).alias("t")).groupBy("service").agg(F.sort_array(F.collect_set("t")).alias("t"))
-    rows = [(r["service"], len(back := decode(encode(r["t"]))), sum(back)) for r in sets.toLocalIterator()]
+    found = sets(event_logs(spark, sf_dir), ["service"], F.col("message")).groupBy("service").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    rows = [(r["service"], len(back := decode(encode(r["t"]))), sum(back)) for r in found.toLocalIterator()]
     wide = list(range(0, 50_653, 2))
     return spark.createDataFrame([*rows, ("dense", len(decode(encode(wide))), sum(decode(encode(wide))))], "service string, n long, total long")
 
