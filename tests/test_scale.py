@@ -6,8 +6,9 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from loglake.api import LogLake
-from loglake.config import Config
+from loglake.config import Compaction, Config
 from loglake.functions import trigrams
+from loglake.queries import lake as queries
 from loglake.sources import generate
 
 BASE = 1_700_000_000_000
@@ -39,3 +40,29 @@ def test_small_files_are_small(spark, tmp_path):
     lake = LogLake(spark, str(tmp_path), config=config)
     lake.ingest(generate.generate(spark, 600, 1, BASE))
     assert max(r["bytes"] for r in lake.catalog.files().collect()) < 100_000
+
+
+def test_every_small_file_is_pending(spark, tmp_path):
+    """A last file that fills no bin is merged with the bin before, in one plan of several passes, told of once a tier."""
+    lake = LogLake(spark, str(tmp_path))
+    for seed in range(5):
+        lake.ingest(generate.generate(spark, 60, seed, BASE + seed * 1_000_000))
+    files = lake.catalog.files().collect()
+    target = max(r["bytes"] for r in files) + 1  # two files fill a bin
+    config = Compaction(trigger_files=2, target_bytes=target, files_per_pass=2)
+    rows = sorted(map(str, lake.engine.scan(r["path"] for r in files).collect()))
+    lake = LogLake(spark, str(tmp_path), config=replace(Config(), compaction=config))
+    assert lake.compactor.pending() == {"hot": 5, "warm": 5, "cold": 5}
+    reports = lake.compactor.maybe_compact()
+    assert {r.tier: (r.files_before, r.files_after, r.files_merged) for r in reports} == dict.fromkeys(("hot", "warm", "cold"), (5, 2, 5)) and len(reports) == 3
+    after = lake.catalog.files().collect()
+    assert len(after) == 6 and sorted(map(str, lake.engine.scan(r["path"] for r in after).collect())) == rows
+
+
+def test_one_object_a_tier(spark, tmp_path, monkeypatch):
+    """The storage page's query merges a tier into one file even where that is larger than a compaction's target."""
+    lake = LogLake(spark, str(tmp_path), config=replace(Config(), compaction=Compaction(trigger_files=2, target_bytes=1)))
+    for seed in range(3):
+        lake.ingest(generate.generate(spark, 60, seed, BASE + seed * 1_000_000))
+    monkeypatch.setattr(queries, "filled", lambda *_: lake)
+    assert {tuple(r) for r in queries._stored(spark, "").collect()} == {(t, 1, 0, 1) for t in ("hot", "warm", "cold")}
