@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from loglake.api import LogLake
 from loglake.config import Compaction, Config
-from loglake.functions import trigrams
+from loglake.functions import shims, trigrams
 from loglake.queries import lake as queries
+from loglake.queries import surface
 from loglake.sources import generate
 
 BASE = 1_700_000_000_000
@@ -66,3 +67,18 @@ def test_one_object_a_tier(spark, tmp_path, monkeypatch):
         lake.ingest(generate.generate(spark, 60, seed, BASE + seed * 1_000_000))
     monkeypatch.setattr(queries, "filled", lambda *_: lake)
     assert {tuple(r) for r in queries._stored(spark, "").collect()} == {(t, 1, 0, 1) for t in ("hot", "warm", "cold")}
+
+
+def test_range_frame_takes_running_sums(spark):
+    """A frame that slides over the rows was summed anew for each of them; equal times, hours' ends, times before 1970 and null times as SQL has them."""
+    times = [-3_600_001, -3_600_000, -1, 0, 0, 1, 1_799_999, 3_600_000, 3_600_000, 3_600_001, 7_200_000, 7_200_002, 14_400_000, None, None]
+    shims.register(spark)
+    rows = spark.createDataFrame([(k, "ERROR" if k % 5 else "INFO", ms) for k, ms in enumerate(times * 2)], "event_id long, level string, ms long")
+    rows.select("event_id", "level", F.timestamp_millis("ms").cast("timestamp_ntz").alias("ts")).createOrReplaceTempView("logs")
+    frame = spark.sql(surface.SPARK_SQL["win_range_frame"])
+    plan = frame._jdf.queryExecution().executedPlan().toString().lower()
+    assert "3600000 preceding" not in plan and "interval '01' hour" not in plan
+    got = {r["event_id"]: r["last_hour"] for r in frame.collect()}
+    known = {r["event_id"]: (r["level"], r["ms"]) for r in rows.collect()}
+    within = lambda a, b: a[0] == b[0] and ((a[1] is None and b[1] is None) or (None not in (a[1], b[1]) and a[1] - 3_600_000 <= b[1] <= a[1]))
+    assert got == {k: sum(within(a, b) for b in known.values()) for k, a in known.items()}
