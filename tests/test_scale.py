@@ -9,7 +9,7 @@ from loglake.api import LogLake
 from loglake.config import Compaction, Config
 from loglake.functions import shims, trigrams
 from loglake.queries import lake as queries
-from loglake.queries import surface
+from loglake.queries import services, surface
 from loglake.sources import generate
 
 BASE = 1_700_000_000_000
@@ -82,3 +82,20 @@ def test_range_frame_takes_running_sums(spark):
     known = {r["event_id"]: (r["level"], r["ms"]) for r in rows.collect()}
     within = lambda a, b: a[0] == b[0] and ((a[1] is None and b[1] is None) or (None not in (a[1], b[1]) and a[1] - 3_600_000 <= b[1] <= a[1]))
     assert got == {k: sum(within(a, b) for b in known.values()) for k, a in known.items()}
+
+
+def test_quantile_is_exact(spark):
+    """As percentile() has it, without one task holding a key's values."""
+    rows = [(k % 3 if k % 7 else None, k * k % 99_991 - 500) for k in range(900)] + [(1, None), (5, 42)]
+    rows = spark.createDataFrame(rows, "key int, v long")
+    for share in (0.0, 0.37, 0.9, 1.0):
+        got = {r["key"]: r["quantile"] for r in services._quantile(rows, "key", "v", share, 1_000).collect()}
+        want = {r["key"]: r["p"] for r in rows.groupBy("key").agg(F.percentile("v", share).alias("p")).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want), share
+
+
+def test_no_sketch_for_each_value(spark):
+    """Estimates and a distinct count in one aggregation keep a sketch for every distinct value."""
+    plan = services._approximate(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    both = [line for line in plan.splitlines() if "approx_count_distinct" in line and "count(distinct" in line]
+    assert "approx_count_distinct" in plan and "count(distinct" in plan and not both
